@@ -56,7 +56,7 @@ def running(
     is unique within a group and breaks ties. ``uniform_range`` states that the
     key is uniform over ``[0, uniform_range)`` and saves the sampling pass.
     ``keep`` builds a condition over ``<name>_before`` (totals ahead of a
-    bucket) and ``<name>_within``; only buckets meeting it are sorted, so it
+    bucket), ``<name>_within`` and ``<name>_total`` (of the group); only buckets meeting it are sorted, so it
     must hold for every bucket with rows the caller wants.
     """
     sums, prior = dict(sums or {}), dict(prior or {})
@@ -99,7 +99,8 @@ def _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets):
     across = W.partitionBy(*group).orderBy(*BUCKET)
     before = across.rowsBetween(W.unboundedPreceding, -1)
     starts = per_bucket.withColumns(
-        {f"{out}_before": F.coalesce(F.sum(f"{out}_within").over(before), F.lit(0)) for out in totals})
+        {f"{out}_before": F.coalesce(F.sum(f"{out}_within").over(before), F.lit(0)) for out in totals}
+        | {f"{out}_total": F.sum(f"{out}_within").over(W.partitionBy(*group)) for out in totals})
     if prior:
         starts = starts.withColumn("__last", F.lag("__last").over(across))
     if keep is not None:

@@ -1,7 +1,7 @@
 """All registered queries, by family."""
 
 from dialwise.catalog import base
-from dialwise.catalog import profile, features, groups, ranking  # noqa: F401
+from dialwise.catalog import profile, features, groups, ranking, encode, rebalance  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

@@ -1,7 +1,8 @@
 """All registered queries, by family."""
 
 from dialwise.catalog import base
-from dialwise.catalog import profile, features, groups, ranking, encode, rebalance  # noqa: F401
+from dialwise.catalog import (  # noqa: F401
+    profile, features, groups, ranking, encode, rebalance, models)
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
@@ -75,7 +76,7 @@ def ordinal_encode(df: DataFrame, col: str = "education", levels: Mapping[str, i
 def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """0/1 columns ``col_level``, without the alphabetically first level of each."""
     levels = levels or collect_levels(df, cols)
-    made = {f"{c}_{v}": (F.coalesce(F.col(c) == v, F.lit(False))).cast("int")
+    made = {re.sub(r"\W+", "_", f"{c}_{v}"): (F.coalesce(F.col(c) == v, F.lit(False))).cast("int")
             for c in cols for v in list(levels[c])[1:]}
     return df.withColumns(made).drop(*cols)
 

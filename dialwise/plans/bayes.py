@@ -29,13 +29,18 @@ class GaussianBayesModel:
         return df.withColumn(out, 1 / (1 + F.exp(gap)))
 
 
-def fit_gaussian_bayes(df: DataFrame, features, label: str = "y", var_smoothing: float = 1e-9) -> GaussianBayesModel:
-    """Class means and variances; every variance gains ``var_smoothing`` times the largest one."""
+def fit_gaussian_bayes(df: DataFrame, features, label: str = "y", var_smoothing: float = 1e-9,
+                       standardised: bool = False) -> GaussianBayesModel:
+    """Class means and variances, each variance raised by ``var_smoothing`` times the largest one.
+
+    With ``standardised`` the result is that of z-scored features: every
+    variance is raised by that share of its own feature's overall variance.
+    """
     per_class = df.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(f).alias("m"), F.var_pop(f).alias("v")).alias(f"s_{i}")
                                for i, f in enumerate(features)]).collect()  # one row per class
     overall = df.agg(*[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(features)]).first()
-    extra = var_smoothing * max(overall)
+    extra = [var_smoothing * (v if standardised else max(overall)) for v in overall]
     if {r[label] for r in per_class} != {0, 1}:
         raise ValueError("both classes must be present")
     total = sum(r["n"] for r in per_class)
@@ -43,4 +48,4 @@ def fit_gaussian_bayes(df: DataFrame, features, label: str = "y", var_smoothing:
     return GaussianBayesModel(
         list(features), {r[label]: r["n"] / total for r in per_class},
         {r[label]: pick(r, "m") for r in per_class},
-        {r[label]: [max(v + extra, 1e-300) for v in pick(r, "v")] for r in per_class})
+        {r[label]: [max(v + e, 1e-300) for v, e in zip(pick(r, "v"), extra)] for r in per_class})

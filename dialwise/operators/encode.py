@@ -9,24 +9,27 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from dialwise.functions.features import fill_null, recode
+from dialwise.operators.ordering import running
+from dialwise.scale import materialise
 
 # Education levels from lowest to highest; unknown becomes -1.
 EDUCATION_LEVELS = {"illiterate": 0, "basic.4y": 1, "basic.6y": 2, "basic.9y": 3, "high.school": 4,
                     "professional.course": 5, "university.degree": 6}
 
 DICTIONARY_LIMIT = 10_000
+INLINE_LEVELS = 32
 
 
-def level_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def level_table(df: DataFrame, cols: Sequence[str], strategy: str = "auto") -> DataFrame:
     """Distinct non-null values per column with their alphabetical position."""
     values = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-                .unpivot([], list(cols), "column", "level").where("level IS NOT NULL")
-                .groupBy("column", "level").agg(F.count(F.lit(1)).alias("n")))
-    code = F.row_number().over(W.partitionBy("column").orderBy("level")) - 1
-    return values.withColumn("code", code)
+                .unpivot([], list(cols), "column", "level").where("level IS NOT NULL").distinct())
+    # the first six bytes as a number sort as the text does; the text itself breaks ties
+    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("level", "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    ranked = running(values, prefix, "level", ["column"], strategy=strategy)
+    return ranked.select("column", "level", (F.col("rank") - 1).cast("int").alias("code"))
 
 
 def collect_levels(df: DataFrame, cols: Sequence[str], limit: int = DICTIONARY_LIMIT) -> dict[str, list[str]]:
@@ -43,28 +46,28 @@ def label_encode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
                  suffix: str = "") -> DataFrame:
     """Integer codes in alphabetical order of the levels in ``fit_on`` (default ``df``).
 
-    A dictionary of checked small size is broadcast; a larger one is left to
-    an ordinary join.
+    A few levels become a CASE, a dictionary of checked small size is
+    broadcast, and a larger one is left to an ordinary join.
     """
     source = df if fit_on is None else fit_on
-    levels = level_table(source, cols).drop("n")
+    levels = level_table(source, cols)
     head = levels.limit(DICTIONARY_LIMIT + 1).collect()
     small = len(head) <= DICTIONARY_LIMIT
-    spark = df.sparkSession
+    levels = levels if small else materialise(levels)
     out = df
     for c in cols:
-        name = f"{c}{suffix}"
+        name, text = f"{c}{suffix}", F.col(c).cast("string")
+        mine = {r["level"]: r["code"] for r in head if r["column"] == c}
+        if small and len(mine) <= INLINE_LEVELS:
+            out = out.withColumn(name, recode(text, mine).cast("int"))
+            continue
         if small:
-            mine = [(r["level"], r["code"]) for r in head if r["column"] == c]
-            codes = F.broadcast(spark.createDataFrame(mine, "__level string, __code int"))
+            codes = F.broadcast(df.sparkSession.createDataFrame(list(mine.items()), "__level string, __code int"))
         else:
             codes = levels.where(F.col("column") == c).select(
                 F.col("level").alias("__level"), F.col("code").alias("__code"))
-        out = out.join(codes, F.col(c).cast("string") == F.col("__level"), "left")
-        if name == c:
-            out = out.withColumn(c, F.col("__code")).drop("__level", "__code")
-        else:
-            out = out.withColumnRenamed("__code", name).drop("__level")
+        out = out.join(codes, text == F.col("__level"), "left")
+        out = out.withColumn(name, F.col("__code")).drop("__level", "__code")
     return out
 
 

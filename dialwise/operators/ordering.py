@@ -27,8 +27,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from dialwise.scale import bucket_count, input_bytes, is_small
+from dialwise.scale import bucket_count, input_bytes, is_narrow, is_small, materialise
 
 BUCKET = ["__major", "__minor"]
 
@@ -49,11 +50,16 @@ def running(
     uniform_range: int | None = None,
     keep: Callable[[], Column] | None = None,
     buckets: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Add ``rank``, running ``sums`` and ``prior``-row values to ``df``.
 
+    With ``totals`` each row also gets ``<rank>_total`` and ``<sum>_total``,
+    the final values of its group.
+
     ``order`` is a numeric column or expression, ascending, nulls last; ``id``
-    is unique within a group and breaks ties. ``uniform_range`` states that the
+    is unique within a group and breaks ties (a numeric one also lets a single
+    hot key be split). ``uniform_range`` states that the
     key is uniform over ``[0, uniform_range)`` and saves the sampling pass.
     ``keep`` builds a condition over ``<name>_before`` (totals ahead of a
     bucket), ``<name>_within`` and ``<name>_total`` (of the group); only buckets meeting it are sorted, so it
@@ -64,20 +70,26 @@ def running(
     if strategy == "auto":
         strategy = "plain" if buckets is None and is_small(df) else "bucketed"
     if strategy == "plain":
-        return _plain(df, id, group, sums, prior, rank).drop("__key")
-    return _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets)
+        return _plain(df, id, group, sums, prior, rank, totals).drop("__key")
+    # the passes below each read the input, so anything dearer than a scan is stored first
+    df = df if is_narrow(df) else materialise(df)
+    return _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets, totals)
 
 
-def _plain(df, id, group, sums, prior, rank):
+def _plain(df, id, group, sums, prior, rank, totals):
     w = W.partitionBy(*group).orderBy(F.col("__key").asc_nulls_last(), F.col(id))
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     cols = {rank: F.row_number().over(w).cast("bigint")}
     cols.update({out: F.sum(c).over(upto) for out, c in sums.items()})
     cols.update({out: F.lag(c).over(w) for out, c in prior.items()})
+    if totals:
+        whole = W.partitionBy(*group)
+        cols[f"{rank}_total"] = F.count(F.lit(1)).over(whole)
+        cols.update({f"{out}_total": F.sum(c).over(whole) for out, c in sums.items()})
     return df.withColumns(cols)
 
 
-def _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets):
+def _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets, totals):
     group = list(group)
     spark = df.sparkSession
     original = df.columns
@@ -88,9 +100,8 @@ def _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets):
     else:
         placed = _place_by_quantiles(df, id, buckets)
 
-    totals = {rank: F.count(F.lit(1))}
-    totals.update({out: F.sum(c) for out, c in sums.items()})
-    aggs = [agg.alias(f"{out}_within") for out, agg in totals.items()]
+    measures = {rank: F.count(F.lit(1)), **{out: F.sum(c) for out, c in sums.items()}}
+    aggs = [agg.alias(f"{out}_within") for out, agg in measures.items()]
     if prior:
         last = F.max_by(F.struct(*[F.col(c) for c in prior.values()]), F.struct("__key", F.col(id)))
         aggs.append(last.alias("__last"))
@@ -99,8 +110,8 @@ def _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets):
     across = W.partitionBy(*group).orderBy(*BUCKET)
     before = across.rowsBetween(W.unboundedPreceding, -1)
     starts = per_bucket.withColumns(
-        {f"{out}_before": F.coalesce(F.sum(f"{out}_within").over(before), F.lit(0)) for out in totals}
-        | {f"{out}_total": F.sum(f"{out}_within").over(W.partitionBy(*group)) for out in totals})
+        {f"{out}_before": F.coalesce(F.sum(f"{out}_within").over(before), F.lit(0)) for out in measures}
+        | {f"{out}_total": F.sum(f"{out}_within").over(W.partitionBy(*group)) for out in measures})
     if prior:
         starts = starts.withColumn("__last", F.lag("__last").over(across))
     if keep is not None:
@@ -115,7 +126,8 @@ def _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets):
         *group, *BUCKET, F.lit(0).alias("__body"),
         F.col(f"{rank}_before").alias("__n"),
         *[F.col(f"{out}_before").alias(f"__s_{out}") for out in sums],
-        *[F.col("__last")[c].alias(f"__p_{out}") for out, c in prior.items()])
+        *[F.col("__last")[c].alias(f"__p_{out}") for out, c in prior.items()],
+        *[F.col(f"{out}_total").alias(f"__t_{out}") for out in measures if totals])
     body = placed.withColumns({
         "__body": F.lit(1), "__n": F.lit(1).cast("bigint"),
         **{f"__s_{out}": F.col(c) for out, c in sums.items()},
@@ -127,6 +139,8 @@ def _bucketed(df, id, group, sums, prior, rank, uniform_range, keep, buckets):
     cols = {rank: F.sum("__n").over(upto)}
     cols.update({out: F.sum(f"__s_{out}").over(upto) for out in sums})
     cols.update({out: F.lag(f"__p_{out}").over(w) for out in prior})
+    if totals:
+        cols.update({f"{out}_total": F.max(f"__t_{out}").over(upto) for out in measures})
     made = both.withColumns(cols).where("__body = 1")
     return made.select(*[c for c in original if c != "__key" and c not in cols], *cols)
 
@@ -159,7 +173,8 @@ def _place_by_quantiles(df, id, buckets):
     splits = [-math.inf, *edges, math.inf]
 
     placed = _bucketize(df.withColumn("__bk", key), "__bk", "__major", splits)
-    if not heavy:
+    numeric_id = isinstance(df.schema[id].dataType, T.NumericType)
+    if not heavy or not numeric_id:
         return placed.withColumn("__minor", F.lit(0)).drop("__bk")
 
     parts = sum(1 for c in cuts if c in set(heavy)) + 1

@@ -33,11 +33,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float],
                .unpivot(group, list(cols), "column", "value").where("value IS NOT NULL")
     keys = [*group, "column"]
     counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    ordered = running(counted, "value", "value", group=keys, sums={"upto": "n"}, strategy="bucketed")
-    totals = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    totals = totals.select(*[F.col(k).alias(f"t_{k}") for k in keys], "total")
-    match = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]
-    placed = ordered.join(totals, match).drop(*[f"t_{k}" for k in keys])
+    placed = running(counted, "value", "value", group=keys, sums={"upto": "n"}, strategy="bucketed",
+                     totals=True).withColumnRenamed("upto_total", "total")
     picks, final = [], []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("total") - 1)

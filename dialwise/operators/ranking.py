@@ -10,27 +10,18 @@ from pyspark.sql import functions as F
 from dialwise.operators.ordering import running
 
 
-def with_totals(df: DataFrame, source: DataFrame, group: Sequence[str], **aggs) -> DataFrame:
-    """Attach whole-group aggregates of ``source`` to the rows of ``df``."""
-    named = [agg.alias(name) for name, agg in aggs.items()]
-    if not group:
-        one = source.agg(F.struct(*named).alias("__t")).scalar()
-        return df.withColumn("__t", one).select(*df.columns, "__t.*")
-    return df.join(source.groupBy(*group).agg(*named), list(group))
-
-
 def ranked(df: DataFrame, score: str, label: str, id: str, group: Sequence[str] = (),
            strategy: str = "auto", keep=None) -> DataFrame:
-    """Rank by score, highest first, with cumulative positives."""
-    return running(df, -F.col(score), id, group, sums={"cum_positives": label},
-                   strategy=strategy, keep=keep)
+    """Rank by score, highest first, with cumulative positives, rows ``n`` and ``positives``."""
+    rows = running(df, -F.col(score), id, group, sums={"cum_positives": label},
+                   strategy=strategy, keep=keep, totals=True)
+    return rows.withColumnsRenamed({"rank_total": "n", "cum_positives_total": "positives"})
 
 
 def lift_rows(df: DataFrame, score: str, label: str, id: str, group: Sequence[str] = (),
               strategy: str = "auto") -> DataFrame:
     """Population share and lift at every rank."""
     rows = ranked(df, score, label, id, group, strategy)
-    rows = with_totals(rows, df, group, n=F.count(F.lit(1)), positives=F.sum(label))
     share = F.col("rank") / F.col("n")
     gained = F.try_divide(F.col("cum_positives"), F.col("positives"))
     return rows.withColumns({"population_share": share, "lift": gained / share})
@@ -56,17 +47,14 @@ def lift_curve(df: DataFrame, score: str, label: str, id: str, group: Sequence[s
     holds_cut = lambda: (_cuts_up_to("rank_before + rank_within", "rank_total")
                          > _cuts_up_to("rank_before", "rank_total"))
     rows = ranked(df.select(*group, id, score, label), score, label, id, group, strategy, keep=holds_cut)
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"))
-    cuts = (totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("pct"))
-                  .withColumn("k", F.expr("n * pct div 100")).where("k > 0"))
-    if not group:
-        cuts = F.broadcast(cuts)  # 100 rows
-    on = [F.col(f"r.{g}") == F.col(f"c.{g}") for g in group] + [F.col("r.rank") == F.col("c.k")]
-    points = rows.alias("r").join(cuts.alias("c"), on)
+    # the percentages that a rank answers: n * pct div 100 = rank, at most 100 of them
+    low, high = F.expr("(rank * 100 + n - 1) div n"), F.expr("((rank + 1) * 100 + n - 1) div n - 1")
+    cut = F.least(high, F.lit(100))
+    points = rows.where(low <= cut).select("*", F.explode(F.sequence(low, cut)).alias("pct"))
     rate = F.col("positives") / F.col("n")
-    lift = F.when(F.col("positives") > 0, (F.col("cum_positives") / F.col("k")) / rate).otherwise(1.0)
+    lift = F.when(F.col("positives") > 0, (F.col("cum_positives") / F.col("rank")) / rate).otherwise(1.0)
     gain = F.when(F.col("positives") > 0, 100.0 * F.col("cum_positives") / F.col("positives")).otherwise(0.0)
-    return points.select(*[F.col(f"c.{g}").alias(g) for g in group], "pct", F.col("k").alias("contacted"),
+    return points.select(*group, F.col("pct").cast("int").alias("pct"), F.col("rank").alias("contacted"),
                          F.col("cum_positives").alias("captured"), lift.alias("lift"), gain.alias("gain"))
 
 
@@ -100,24 +88,23 @@ def score_steps(df: DataFrame, score: str, label: str, group: Sequence[str] = ()
     """
     steps = df.groupBy(*group, F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    return running(steps, -F.col("threshold"), "threshold", group,
-                   sums={"tp": "pos", "fp": "neg"}, rank="step", strategy=strategy)
+    rows = running(steps, -F.col("threshold"), "threshold", group,
+                   sums={"tp": "pos", "fp": "neg"}, rank="step", strategy=strategy, totals=True)
+    return rows.withColumnsRenamed({"tp_total": "positives", "fp_total": "negatives"}).drop("step_total")
 
 
 
 def roc_points(df, score, label, group=(), strategy="auto", drop_collinear=False) -> DataFrame:
     """ROC points at distinct scores, with the leading (0, 0)."""
     group = list(group)
-    steps = score_steps(df, score, label, group, strategy)
-    rows = with_totals(steps, df, group, positives=F.count_if(F.col(label) == 1),
-                       negatives=F.count_if(F.col(label) == 0))
+    rows = score_steps(df, score, label, group, strategy)
     if drop_collinear:
         rows = running(rows, "threshold", "threshold", group, rank="__back",
                        prior={"__np": "pos", "__nn": "neg"}, strategy=strategy)
         rows = rows.where("__np IS NULL OR __np <> pos OR __nn <> neg")
     points = rows.select(*group, "threshold", F.try_divide("fp", "negatives").alias("fpr"),
                          F.try_divide("tp", "positives").alias("tpr"))
-    start = df.groupBy(*group).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+    start = df.select(*group).groupBy(*group).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                                    F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
 
@@ -125,8 +112,7 @@ def roc_points(df, score, label, group=(), strategy="auto", drop_collinear=False
 def pr_points(df, score, label, group=(), strategy="auto") -> DataFrame:
     """Precision-recall points at distinct scores, with the final (1, 0)."""
     group = list(group)
-    steps = score_steps(df, score, label, group, strategy)
-    rows = with_totals(steps, df, group, positives=F.count_if(F.col(label) == 1))
+    rows = score_steps(df, score, label, group, strategy)
     points = rows.select(*group, "threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                          F.try_divide("tp", "positives").alias("recall"))
     end = df.groupBy(*group).agg(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),

@@ -10,8 +10,9 @@ from dialwise.functions.hashing import UNIT_RANGE, hash52, uniform
 from dialwise.operators.ordering import running
 
 
-def _class_rank(df, label, id, seed, strategy):
-    return running(df, hash52(seed, id), id, [label], rank="__r", strategy=strategy, uniform_range=UNIT_RANGE)
+def _class_rank(df, label, id, seed, strategy, totals=False):
+    return running(df, hash52(seed, id), id, [label], rank="__r", strategy=strategy, uniform_range=UNIT_RANGE,
+                   totals=totals)
 
 
 def stratified_folds(df: DataFrame, label: str, id: str, k: int, seed: int = 42, out: str = "fold",
@@ -24,11 +25,9 @@ def stratified_folds(df: DataFrame, label: str, id: str, k: int, seed: int = 42,
 def stratified_split(df: DataFrame, label: str, id: str, frac: float, seed: int = 42, out: str = "is_test",
                      strategy: str = "auto") -> DataFrame:
     """Mark ``round(frac * n_c)`` rows of each class as test rows."""
-    dealt = _class_rank(df, label, id, seed, strategy)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    sized = dealt.join(sizes, label)
-    test = F.col("__r") <= F.round(F.lit(float(frac)) * F.col("__n"))
-    return sized.withColumn(out, test.cast("int")).drop("__r", "__n")
+    dealt = _class_rank(df, label, id, seed, strategy, totals=True)
+    test = F.col("__r") <= F.round(F.lit(float(frac)) * F.col("__r_total"))
+    return dealt.withColumn(out, test.cast("int")).drop("__r", "__r_total")
 
 
 def seeded_shuffle(df: DataFrame, id: str, seed: int = 42) -> DataFrame:

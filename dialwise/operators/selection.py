@@ -34,11 +34,9 @@ def mutual_information(df: DataFrame, discrete: Sequence[str] = (), continuous:
         long = df.select(label, *[F.col(c).cast("double").alias(c) for c in continuous]) \
                  .unpivot([label], list(continuous), "feature", "value").where("value IS NOT NULL")
         values = long.groupBy("feature", "value").agg(*counts).withColumn("n", F.col("n0") + F.col("n1"))
-        placed = running(values, "value", "value", ["feature"], sums={"upto": "n"}, strategy=strategy)
-        sizes = values.groupBy("feature").agg(F.sum("n").alias("total"))
-        # one row per feature
-        placed = placed.join(F.broadcast(sizes), "feature")
-        bin_ = F.floor((F.col("upto") - F.col("n")) * bins / F.col("total")).cast("string")
+        placed = running(values, "value", "value", ["feature"], sums={"upto": "n"}, strategy=strategy,
+                         totals=True)
+        bin_ = F.floor((F.col("upto") - F.col("n")) * bins / F.col("upto_total")).cast("string")
         parts.append(placed.groupBy("feature", bin_.alias("bin")).agg(F.sum("n0").alias("n0"),
                                                                       F.sum("n1").alias("n1")))
     binned = reduce(DataFrame.unionByName, parts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dialwise.functions.hashing import hex_int, md5_of
 from dialwise.operators.neighbours import LEAF_ROWS, nearest_neighbours
 from dialwise.operators.ordering import running
+from dialwise.scale import materialise
 
 SEED_DIGITS, PICK_DIGITS = 13, 6  # of one md5; the remaining 13 give the position between the two
 
@@ -33,7 +34,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str, id: str, k: int =
     if missing == 0 or k < 1:
         return base
 
-    rare = base.where(F.col(label) == minority)
+    rare = materialise(base.where(F.col(label) == minority))
     lists = nearest_neighbours(rare, id, features, k, leaf_rows)
     seeds = running(rare.select(F.col(id).alias("__seed"), F.array(*features).alias("__x")),
                     "__seed", "__seed", rank="__rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -39,6 +40,17 @@ def is_small(df: DataFrame) -> bool:
     return input_bytes(df) <= setting(df.sparkSession, PLAIN_MAX_BYTES)
 
 
+_WIDE = {"Join", "Aggregate", "Window", "Sort", "Generate", "Expand", "Distinct", "GlobalLimit",
+         "RepartitionByExpression", "MapInPandas", "FlatMapGroupsInPandas"}
+
+
+def is_narrow(df: DataFrame) -> bool:
+    """True when reading ``df`` again costs a scan and nothing more."""
+    tree = df._jdf.queryExecution().optimizedPlan().treeString()
+    names = {m.group(1) for m in re.finditer(r"^[\s:+|-]*(\w+)", tree, re.M)}
+    return not names & _WIDE
+
+
 def bucket_count(spark: SparkSession, rows: int) -> int:
     wanted = math.ceil(rows / setting(spark, ROWS_PER_BUCKET))
     return max(1, min(wanted, setting(spark, MAX_BUCKETS)))

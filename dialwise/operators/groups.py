@@ -45,11 +45,17 @@ def crosstab(df: DataFrame, a: str, b: str, b_values: Sequence, normalize: bool
     return wide.withColumn(a, F.coalesce(a, F.lit("All")))
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation over rows where both are known; null when either is constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, cols: Sequence[str], min_abs: float | None = None) -> DataFrame:
     """Pearson matrix in long form; with ``min_abs`` only the strong pairs, each once."""
     pairs = list(combinations(cols, 2))
-    aggs = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    own = [F.corr(a, a).alias(f"{a}|{a}") for a in cols]
+    aggs = [pearson(a, b).alias(f"{a}|{b}") for a, b in pairs]
+    own = [pearson(a, a).alias(f"{a}|{a}") for a in cols]
     wide = df.agg(*aggs, *([] if min_abs is not None else own))
     cell = lambda a, b, source: F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"),
                                          F.col(f"`{source}`").alias("r"))
@@ -61,7 +67,7 @@ def correlations(df: DataFrame, cols: Sequence[str], min_abs: float | None = Non
 
 def target_correlations(df: DataFrame, cols: Sequence[str], label: str = "y") -> DataFrame:
     """Signed and absolute correlation with the label, strongest first."""
-    wide = df.agg(*[F.corr(c, label).alias(c) for c in cols])
+    wide = df.agg(*[pearson(c, label).alias(c) for c in cols])
     long = rows_from(wide, [], [F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in cols])
     return long.withColumn("abs_r", F.abs("r")).orderBy(F.desc_nulls_last("abs_r"), "feature")
 

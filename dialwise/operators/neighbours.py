@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 
 from dialwise.scale import materialise
 
-LEAF_ROWS = 4_000
+LEAF_ROWS = 1_000
 MAX_LEAVES = 20_000
 CHUNK_ROWS = 20_000
 
@@ -47,7 +47,8 @@ def nearest_neighbours(df: DataFrame, id: str, features: Sequence[str], k: int =
                                 "id bigint, v array<double>, copy int, leaf int")
     if tree.leaves > 1:
         placed = materialise(placed)
-    near = placed.groupBy("leaf").applyInPandas(
+    # a stated number of partitions keeps small leaves on many cores
+    near = placed.repartition(tree.leaves, "leaf").groupBy("leaf").applyInPandas(
         lambda pdf: _within_leaf(pdf, k), "id bigint, v array<double>, neighbour bigint, distance double, "
                                           "vector array<double>, leaf int")
     if tree.leaves > 1:
@@ -123,10 +124,13 @@ def _assign(batches, tree):
 
 
 def _closest(queries, q_ids, points, p_ids, k, reach=None):
-    """Per query the k nearest points, itself excluded, ties by point id."""
-    order = np.argsort(p_ids, kind="stable")
-    points, p_ids = points[order], p_ids[order]
-    step = max(1, 4_000_000 // max(1, points.size))
+    """The k nearest points of each query, itself excluded, ties by point id.
+
+    Returns query positions, point positions and squared distances.
+    """
+    by_id = np.argsort(p_ids, kind="stable")
+    points, p_ids = points[by_id], p_ids[by_id]
+    take, step, out = min(k, len(points)), max(1, 4_000_000 // len(points)), []
     for start in range(0, len(queries), step):
         block = slice(start, start + step)
         d2 = np.zeros((len(queries[block]), len(points)))
@@ -135,29 +139,25 @@ def _closest(queries, q_ids, points, p_ids, k, reach=None):
         d2[q_ids[block, None] == p_ids[None, :]] = np.inf
         if reach is not None:
             d2[d2 > reach[block, None]] = np.inf
-        take = min(k, len(points))
         kth = np.partition(d2, take - 1, axis=1)[:, take - 1]
-        for i in range(len(d2)):
-            hits = np.flatnonzero((d2[i] <= kth[i]) & np.isfinite(d2[i]))
-            yield start + i, hits[np.argsort(d2[i][hits], kind="stable")][:take], d2[i], points, p_ids
+        row, col = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+        order = np.lexsort((col, d2[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < take], col[place < take]
+        out.append((row + start, by_id[col], d2[row, col]))
+    return [np.concatenate(part) for part in zip(*out)]
 
 
-def _listing(q_ids, found, extra=None):
-    out = {"id": [], "neighbour": [], "distance": [], "vector": []}
-    who = []
-    for q, hits, d2, points, p_ids in found:
-        out["id"] += [q_ids[q]] * len(hits)
-        out["neighbour"] += list(p_ids[hits])
-        out["distance"] += list(d2[hits])
-        out["vector"] += list(points[hits])
-        who += [q] * len(hits)
-    return pd.DataFrame(out), who
+def _listing(x, q_ids, points, p_ids, k, reach=None):
+    q, p, d2 = _closest(x, q_ids, points, p_ids, k, reach)
+    return q, pd.DataFrame({"id": q_ids[q], "neighbour": p_ids[p], "distance": d2, "vector": list(points[p])})
 
 
 def _within_leaf(pdf, k):
     x, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
-    found, who = _listing(ids, _closest(x, ids, x, ids, k))
-    found["v"] = [x[q] for q in who]
+    q, found = _listing(x, ids, x, ids, k)
+    found["v"] = list(x[q])
     found["leaf"] = int(pdf["leaf"].iloc[0])
     return found[["id", "v", "neighbour", "distance", "vector", "leaf"]]
 
@@ -185,6 +185,8 @@ def _other_leaves(placed, near, tree, k):
     sent = sent.join(load, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     hosts = placed.join(load, "leaf").select(
         "leaf", "id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    n = min(2 * tree.leaves, MAX_LEAVES)
+    sent, hosts = sent.repartition(n, "leaf", "part"), hosts.repartition(n, "leaf", "part")
     return sent.groupBy("leaf", "part").cogroup(hosts.groupBy("leaf", "part")).applyInPandas(
         lambda q, p: _visit(q, p, k), "id bigint, neighbour bigint, distance double, vector array<double>")
 
@@ -229,5 +231,4 @@ def _visit(q, p, k):
         return pd.DataFrame({"id": [], "neighbour": [], "distance": [], "vector": []})
     x, ids = np.stack(q["v"].to_numpy()), q["id"].to_numpy()
     hosts, host_ids = np.stack(p["v"].to_numpy()), p["id"].to_numpy()
-    found, _ = _listing(ids, _closest(x, ids, hosts, host_ids, k, q["reach"].to_numpy()))
-    return found
+    return _listing(x, ids, hosts, host_ids, k, q["reach"].to_numpy())[1]

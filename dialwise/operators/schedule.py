@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dialwise.functions.features import MEAN_LONG, MEAN_SHORT, efficiency, expected_duration
 from dialwise.functions.hashing import hex_int, md5_of
 from dialwise.operators.ordering import running
-from dialwise.scale import ROWS_PER_BUCKET, materialise, setting
+from dialwise.scale import ROWS_PER_BUCKET, is_narrow, is_small, materialise, setting
 
 SHIFT_SECONDS = 28_800
 
@@ -50,10 +50,13 @@ def outcome(selected: DataFrame, label: str = "y", group: Sequence[str] = ()) ->
         F.coalesce(F.max("spent"), F.lit(0)).alias("seconds"))
 
 
+KEY_DIGITS = 15
+
+
 def trial_keys(id: str, trials: int, seed: int) -> list[Column]:
-    """One 60-bit order key per trial; each digest serves two trials."""
+    """One 60-bit order key per trial, as hex text; each digest serves two trials."""
     digests = [md5_of(F.lit(str(seed + t)), F.col(id)) for t in range((trials + 1) // 2)]
-    return [hex_int(digests[t // 2], 1 + 15 * (t % 2), 15) for t in range(trials)]
+    return [F.substring(digests[t // 2], 1 + KEY_DIGITS * (t % 2), KEY_DIGITS) for t in range(trials)]
 
 
 def random_order_trials(df: DataFrame, id: str, cost: str = "duration", label: str = "y",
@@ -67,15 +70,19 @@ def random_order_trials(df: DataFrame, id: str, cost: str = "duration", label: s
     spark = df.sparkSession
     paid = F.coalesce(F.col(cost), F.lit(0))
     lean = df.select(id, paid.alias("cost"), F.coalesce(F.col(label), F.lit(0)).alias("label"))
+    if not is_narrow(lean) or is_small(lean):
+        lean = materialise(lean)
     n, total = lean.agg(F.count(F.lit(1)), F.sum("cost")).first()
     needed = (2 * budget * n / total + 100) if total else n
     share = min(1.0, needed / n) if n else 1.0
     keys = F.array(*[F.struct(F.lit(t).alias("trial"), k.alias("key"))
                      for t, k in enumerate(trial_keys(id, trials, seed))])
     while True:
-        cutoff = int(share * 16 ** 15)
+        # hex text of one length compares like the number
+        cutoff = f"{int(share * 16 ** KEY_DIGITS):0{KEY_DIGITS}x}"
         near = keys if share >= 1 else F.filter(keys, lambda k: k["key"] < cutoff)
-        kept = lean.select(id, "cost", "label", F.inline(near))
+        kept = lean.select(id, "cost", "label", F.inline(near)) \
+                   .withColumn("key", hex_int(F.col("key"), 1, KEY_DIGITS))
         if share >= 1:
             break
         kept = materialise(kept)

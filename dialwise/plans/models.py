@@ -11,6 +11,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +29,30 @@ def _depth(value):
     return DEEPEST if value is None else min(int(value), DEEPEST)
 
 
+# On a 0/1 label the variance of a regression tree is half the gini impurity, so
+# the splits are the same and a leaf predicts its share of positives. Spark's
+# classification trees merge sibling leaves that agree on the class, which on
+# rare positives leaves nothing to rank by; they serve the entropy criterion only.
+
+
 def _decision_tree(p, rows):
-    shared = dict(impurity=p.get("criterion", "entropy"), maxDepth=_depth(p.get("max_depth")),
-                  minInstancesPerNode=p.get("min_samples_leaf", 1), seed=SEED, cacheNodeIds=True)
-    if p.get("max_features") is None:
-        return DecisionTreeClassifier(**shared)
-    return RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy=p["max_features"], **shared)
+    shared = dict(maxDepth=_depth(p.get("max_depth")), minInstancesPerNode=p.get("min_samples_leaf", 1),
+                  seed=SEED, cacheNodeIds=True)
+    entropy, subset = p.get("criterion", "gini") == "entropy", p.get("max_features")
+    if subset is None:
+        return DecisionTreeClassifier(impurity="entropy", **shared) if entropy else DecisionTreeRegressor(**shared)
+    one = dict(numTrees=1, bootstrap=False, featureSubsetStrategy=subset, **shared)
+    return RandomForestClassifier(impurity="entropy", **one) if entropy else RandomForestRegressor(**one)
 
 
 def _random_forest(p, rows):
-    return RandomForestClassifier(
+    shared = dict(
         numTrees=p.get("n_estimators", 100), maxDepth=_depth(p.get("max_depth")),
-        impurity=p.get("criterion", "gini"), minInstancesPerNode=p.get("min_samples_leaf", 1),
-        featureSubsetStrategy=p.get("max_features", "sqrt"), bootstrap=p.get("bootstrap", True),
-        seed=SEED, cacheNodeIds=True)
+        minInstancesPerNode=p.get("min_samples_leaf", 1), featureSubsetStrategy=p.get("max_features", "sqrt"),
+        bootstrap=p.get("bootstrap", True), seed=SEED, cacheNodeIds=True)
+    if p.get("criterion", "gini") == "entropy":
+        return RandomForestClassifier(impurity="entropy", **shared)
+    return RandomForestRegressor(**shared)
 
 
 def _logistic_regression(p, rows):
@@ -90,8 +101,9 @@ class Fitted:
     def transform(self, df: DataFrame, out: str = "prob") -> DataFrame:
         if not isinstance(self.pipeline, PipelineModel):
             return self.pipeline.transform(df, out)
-        made = self.pipeline.transform(df).withColumn(out, vector_to_array("probability")[1])
-        return made.drop("features", "rawPrediction", "probability", "prediction")
+        made = self.pipeline.transform(df)
+        chance = vector_to_array("probability")[1] if "probability" in made.columns else F.col("prediction")
+        return made.withColumn(out, chance).drop("features", "rawPrediction", "probability", "prediction")
 
     def importances(self) -> list[tuple[str, float]]:
         last = self.pipeline.stages[-1]

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 MB = 1 << 20
+SMALL_FILES = 16
 
 PLAIN_MAX_BYTES = "dialwise.order.plainMaxBytes"
 ROWS_PER_BUCKET = "dialwise.order.rowsPerBucket"
@@ -77,6 +78,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/dialwise-{uuid.uuid4().hex}"
+    if is_small(df):
+        # a small table would come back as one file and keep one core busy
+        df = df.repartition(min(spark.sparkContext.defaultParallelism, SMALL_FILES))
     df.write.mode("errorifexists").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

@@ -26,35 +26,33 @@ from pyspark.sql import Window as W
 from dialwise.scale import materialise
 
 LEAF_ROWS = 1_000
+WHOLE_ROWS = 20_000
 MAX_LEAVES = 20_000
 CHUNK_ROWS = 20_000
 
 
 def nearest_neighbours(df: DataFrame, id: str, features: Sequence[str], k: int = 5,
-                       leaf_rows: int = LEAF_ROWS) -> DataFrame:
+                       leaf_rows: int = LEAF_ROWS, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """``id, rank, neighbour, distance, vector`` for ranks 1..k, ties by neighbour id.
 
     Members of a group of more than ``k`` equal points are left out: all their
     neighbours are copies of themselves. ``vector`` is the neighbour's position.
+    Up to ``whole_rows`` points are compared as a whole, in blocks of queries.
     """
     points = df.select(F.col(id).cast("bigint").alias("id"),
                        F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
     copy = F.row_number().over(W.partitionBy("v").orderBy("id"))
     points = materialise(points.withColumn("copy", copy).where(F.col("copy") <= k + 1))
     rows = points.count()
-    tree = _build_tree(points, rows, leaf_rows)
-    placed = points.mapInPandas(lambda batches: _assign(batches, tree),
-                                "id bigint, v array<double>, copy int, leaf int")
-    if tree.leaves > 1:
-        placed = materialise(placed)
-    # a stated number of partitions keeps small leaves on many cores
-    near = placed.repartition(tree.leaves, "leaf").groupBy("leaf").applyInPandas(
-        lambda pdf: _within_leaf(pdf, k), "id bigint, v array<double>, neighbour bigint, distance double, "
-                                          "vector array<double>, leaf int")
-    if tree.leaves > 1:
-        near = materialise(near)
-        far = _other_leaves(placed, near, tree, k)
-        near = near.select("id", "neighbour", "distance", "vector").unionByName(far)
+    if rows <= whole_rows:
+        parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // 500)))
+        every = points.withColumn("leaf", F.lit(0))
+        queries = every.withColumns({"reach": F.lit(float("inf")),
+                                     "part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")})
+        hosts = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        near = _visits(queries, hosts, parts, k)
+    else:
+        near = _search(points, _build_tree(points, rows, leaf_rows), k)
     order = W.partitionBy("id").orderBy("distance", "neighbour")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # a full set of copies ahead of everything else means the point's group is larger than k
@@ -64,6 +62,17 @@ def nearest_neighbours(df: DataFrame, id: str, features: Sequence[str], k: int =
                   .select(F.col("id").alias(id), "rank", "neighbour", "distance", "vector"))
 
 
+def _search(points, tree, k):
+    placed = materialise(points.mapInPandas(lambda batches: _assign(batches, tree),
+                                            "id bigint, v array<double>, copy int, leaf int"))
+    # a stated number of partitions keeps small leaves on many cores
+    near = placed.repartition(tree.leaves, "leaf").groupBy("leaf").applyInPandas(
+        lambda pdf: _within_leaf(pdf, k), "id bigint, v array<double>, neighbour bigint, distance double, "
+                                          "vector array<double>, leaf int")
+    near = materialise(near)
+    return near.select("id", "neighbour", "distance", "vector").unionByName(_other_leaves(placed, near, tree, k))
+
+
 @dataclass
 class _Tree:
     """Splits as arrays: rows with ``v[dim] <= cut`` go left; leaves have ``dim == -1``."""
@@ -185,9 +194,16 @@ def _other_leaves(placed, near, tree, k):
     sent = sent.join(load, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     hosts = placed.join(load, "leaf").select(
         "leaf", "id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    n = min(2 * tree.leaves, MAX_LEAVES)
-    sent, hosts = sent.repartition(n, "leaf", "part"), hosts.repartition(n, "leaf", "part")
-    return sent.groupBy("leaf", "part").cogroup(hosts.groupBy("leaf", "part")).applyInPandas(
+    return _visits(sent, hosts, min(2 * tree.leaves, MAX_LEAVES), k)
+
+
+def _visits(queries, hosts, partitions, k):
+    """The k nearest hosts of each query within its leaf and part."""
+    queries = queries.select("id", "v", "reach", "leaf", "part").repartition(partitions, "leaf", "part")
+    # columns of its own: both sides may come from one table, and a cogroup must not mix them up
+    hosts = hosts.select(F.col("id").alias("host"), F.col("v").alias("host_v"), F.col("leaf").alias("host_leaf"),
+                         F.col("part").alias("host_part")).repartition(partitions, "host_leaf", "host_part")
+    return queries.groupBy("leaf", "part").cogroup(hosts.groupBy("host_leaf", "host_part")).applyInPandas(
         lambda q, p: _visit(q, p, k), "id bigint, neighbour bigint, distance double, vector array<double>")
 
 
@@ -230,5 +246,5 @@ def _visit(q, p, k):
     if not len(q) or not len(p):
         return pd.DataFrame({"id": [], "neighbour": [], "distance": [], "vector": []})
     x, ids = np.stack(q["v"].to_numpy()), q["id"].to_numpy()
-    hosts, host_ids = np.stack(p["v"].to_numpy()), p["id"].to_numpy()
+    hosts, host_ids = np.stack(p["host_v"].to_numpy()), p["host"].to_numpy()
     return _listing(x, ids, hosts, host_ids, k, q["reach"].to_numpy())[1]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.functions.hashing import hex_int, md5_of
-from dialwise.operators.neighbours import LEAF_ROWS, nearest_neighbours
+from dialwise.operators.neighbours import nearest_neighbours
 from dialwise.operators.ordering import running
 from dialwise.scale import materialise
 
@@ -16,12 +16,13 @@ SEED_DIGITS, PICK_DIGITS = 13, 6  # of one md5; the remaining 13 give the positi
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str, id: str, k: int = 5, seed: int = 42,
-          leaf_rows: int = LEAF_ROWS) -> DataFrame:
+          **search) -> DataFrame:
     """``df`` reduced to id, label and double features, plus synthetic minority rows.
 
     Each new row takes a random minority row and a random one of its ``k``
     nearest minority neighbours, and lies at a random point between them. New
-    ids are negative. Apply it to training rows only.
+    ids are negative. Apply it to training rows only. ``search`` goes to the
+    neighbour search.
     """
     features = list(features)
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -35,7 +36,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str, id: str, k: int =
         return base
 
     rare = materialise(base.where(F.col(label) == minority))
-    lists = nearest_neighbours(rare, id, features, k, leaf_rows)
+    lists = nearest_neighbours(rare, id, features, k, **search)
     seeds = running(rare.select(F.col(id).alias("__seed"), F.array(*features).alias("__x")),
                     "__seed", "__seed", rank="__rank")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from dialwise.operators.encode import collect_levels, label_encode, one_hot, ordinal_encode
 from dialwise.functions.features import derive_features
 from dialwise.plans.bayes import fit_gaussian_bayes
-from dialwise.scale import ensure_checkpoint_dir
+from dialwise.scale import ensure_checkpoint_dir, is_narrow, materialise
 from dialwise.sources.leads import CATEGORICAL, FEATURES
 
 SEED = 42
@@ -133,6 +133,8 @@ def design_matrix(leads: DataFrame, derived: Sequence[str] = (), style: str = "o
     ``onehot`` orders education and expands the other categories; ``label``
     codes every category alphabetically. ``carry`` keeps further columns.
     """
+    # the levels are read before the rows, so a joined input is stored first
+    leads = leads if is_narrow(leads) else materialise(leads)
     present = [c for c in FEATURES if c in leads.columns]
     numeric = [c for c in present if c not in CATEGORICAL]
     cats = [c for c in present if c in CATEGORICAL]

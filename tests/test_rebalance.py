@@ -18,8 +18,8 @@ def frame(spark, points):
     return spark.createDataFrame([(int(i), *map(float, x)) for i, x in points.items()], "id bigint, a double, b double, c double")
 
 
-@pytest.mark.parametrize("leaf_rows", [25, 1000])
-def test_neighbours_equal_brute_force(spark, leaf_rows):
+@pytest.mark.parametrize("search", [dict(leaf_rows=25, whole_rows=0), dict(leaf_rows=1000, whole_rows=0), {}])
+def test_neighbours_equal_brute_force(spark, search):
     rng = np.random.default_rng(1)
     pts = {i: tuple(p) for i, p in enumerate(rng.integers(0, 12, size=(300, 3)))}
     # a third of the rows are copies of one point, and a small group of copies
@@ -29,7 +29,7 @@ def test_neighbours_equal_brute_force(spark, leaf_rows):
         pts[i] = (50, 50, 50)
     want = brute_force(pts, 4)
     got = {}
-    for r in nearest_neighbours(frame(spark, pts), "id", ["a", "b", "c"], 4, leaf_rows).orderBy("id", "rank").collect():
+    for r in nearest_neighbours(frame(spark, pts), "id", ["a", "b", "c"], 4, **search).orderBy("id", "rank").collect():
         got.setdefault(r["id"], []).append((r["distance"], r["neighbour"]))
     groups = {}
     for i, x in pts.items():
@@ -53,7 +53,7 @@ def test_smote_reaches_parity_between_minority_points(leads):
 
 def test_smote_is_the_same_for_any_leaf_size(leads):
     cols = ["age", "campaign", "duration"]
-    one, many = smote(leads, cols, "y", "lead_id"), smote(leads, cols, "y", "lead_id", leaf_rows=30)
+    one, many = smote(leads, cols, "y", "lead_id"), smote(leads, cols, "y", "lead_id", leaf_rows=30, whole_rows=0)
     assert one.exceptAll(many).isEmpty()
 
 

@@ -4,7 +4,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dialwise.catalog.base import query
-from dialwise.catalog.groups import CORR
 from dialwise.catalog.profile import each, rounded
 
 from dialwise.operators import encode, groups, selection

@@ -11,7 +11,7 @@ from dialwise.operators.sampling import stratified_split
 from dialwise.plans import experiments as ex
 from dialwise.plans import twostage as ts
 from dialwise.plans.models import Fitted, design_matrix, fit
-from dialwise.scale import materialise, shared_dir
+from dialwise.scale import materialise, remove_at_exit, shared_dir
 from dialwise.sources import delimited, sinks
 from dialwise.sources.leads import FEATURES, build_leads
 
@@ -143,7 +143,10 @@ def l21(spark, sf):
 
 
 def fresh(spark, name):
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of this run's own, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
 
 
 def saved_logit(spark, sf, root):

@@ -104,19 +104,34 @@ def _grow(tree: _Tree, sample: np.ndarray, leaves: int) -> int:
     node = len(tree.dim)
     for column in (tree.dim, tree.cut, tree.left, tree.right, tree.leaf):
         column.append(-1)
-    if leaves > 1 and len(sample) > 1:
-        dim = int(np.argmax(sample.max(axis=0) - sample.min(axis=0)))
-        cut = float(np.quantile(sample[:, dim], 0.5, method="lower"))
+    split = _best_split(sample) if leaves > 1 and len(sample) > 1 else None
+    if split:
+        dim, cut = split
         goes_left = sample[:, dim] <= cut
-        if 0 < goes_left.sum() < len(sample):
-            tree.dim[node], tree.cut[node] = dim, cut
-            tree.left[node] = _grow(tree, sample[goes_left], (leaves + 1) // 2)
-            tree.right[node] = _grow(tree, sample[~goes_left], leaves // 2)
-            return node
+        # leaves follow rows, so an uneven split still gives leaves of one size
+        share = min(leaves - 1, max(1, round(leaves * goes_left.mean())))
+        tree.dim[node], tree.cut[node] = dim, cut
+        tree.left[node] = _grow(tree, sample[goes_left], share)
+        tree.right[node] = _grow(tree, sample[~goes_left], leaves - share)
+        return node
     tree.leaf[node] = sum(d >= 0 for d in tree.leaf[:node])
     return node
 
 
+def _best_split(sample: np.ndarray) -> tuple[int, float] | None:
+    """The widest dimension that splits well at its median, else the most even split."""
+    top, spread = sample.max(axis=0), np.ptp(sample, axis=0)
+    options = []
+    for dim in np.flatnonzero(spread > 0):
+        x = sample[:, dim]
+        cut = np.quantile(x, 0.5, method="lower")
+        if cut == top[dim]:  # most rows share the largest value
+            cut = x[x < top[dim]].max()
+        even = min(np.mean(x <= cut), np.mean(x > cut))
+        options.append((even >= 0.2, spread[dim] if even >= 0.2 else even, int(dim), float(cut)))
+    return max(options)[2:] if options else None
+
+
 def _assign(batches, tree):
     for pdf in batches:
         x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))

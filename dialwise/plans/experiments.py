@@ -7,6 +7,7 @@ out-of-fold scores once, so no step is recomputed by the jobs that follow it.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 from collections.abc import Iterable, Sequence
@@ -136,7 +137,6 @@ def grid_search(frame, learner, choices, features, label="y", id="lead_id", stra
 
 def draw_settings(trials: int, space: dict = SEARCH_SPACE, seed: int = SEED) -> list[dict]:
     """Reproducible settings, drawn evenly from each range."""
-    import hashlib
     unit = lambda t, name: int(hashlib.md5(f"{seed}:{t}:{name}".encode()).hexdigest()[:13], 16) / 16 ** 13
 
     def value(t, name, lo, hi):

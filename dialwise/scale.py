@@ -82,11 +82,15 @@ def materialise(df: DataFrame) -> DataFrame:
         # a small table would come back as one file and keep one core busy
         df = df.repartition(min(spark.sparkContext.defaultParallelism, SMALL_FILES))
     df.write.mode("errorifexists").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let iterative learners cut their lineage in the shared folder."""
     context = spark.sparkContext

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from dialwise.functions import features as fx
 from dialwise.operators import encode, groups, metrics, profile, ranking, sampling, schedule, selection
 from dialwise.plans import experiments as ex
-from dialwise.plans.models import GRIDS, design_matrix, fit
-from dialwise.scale import materialise
+from dialwise.plans.models import GRIDS, design_matrix
 from dialwise.sources import delimited, sinks
 from tests.conftest import same
 

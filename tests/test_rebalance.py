@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dialwise.operators import neighbours
 from dialwise.operators.neighbours import nearest_neighbours
 from dialwise.operators.smote import smote
 
@@ -40,6 +42,28 @@ def test_neighbours_equal_brute_force(spark, search):
     assert all(d == 0 for i in crowded for d, _ in want[i])
 
 
+def test_tree_splits_rows_that_share_a_value():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 3))
+    x[:, 1] = np.where(rng.random(4000) < 0.8, 999, rng.integers(0, 900, 4000))
+    tree = neighbours._Tree([], [], [], [], [])
+    neighbours._grow(tree, x, 20)
+    placed = next(neighbours._assign([pd.DataFrame({"v": list(x)})], tree))
+    assert tree.leaves == 20 and placed["leaf"].value_counts().max() < 3 * 4000 / 20
+
+
+def test_neighbours_with_a_dominant_value_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pts = {i: (int(rng.integers(0, 40)), 999 if i % 5 else int(rng.integers(0, 30)), int(rng.integers(0, 40)))
+           for i in range(400)}
+    want = brute_force(pts, 3)
+    got = {}
+    for r in nearest_neighbours(frame(spark, pts), "id", ["a", "b", "c"], 3, leaf_rows=20, whole_rows=0) \
+            .orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["distance"], r["neighbour"]))
+    assert got == want
+
+
 def test_smote_reaches_parity_between_minority_points(leads):
     cols = ["age", "campaign", "duration"]
     out = smote(leads, cols, "y", "lead_id").cache()

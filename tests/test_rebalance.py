@@ -16,6 +16,14 @@ def brute_force(points, k):
     return out
 
 
+def crowded(points, k):
+    """Ids in groups of more than k equal points, which have only copies as neighbours."""
+    groups = {}
+    for i, x in points.items():
+        groups.setdefault(x, []).append(i)
+    return {i for g in groups.values() if len(g) > k for i in g}
+
+
 def frame(spark, points):
     return spark.createDataFrame([(int(i), *map(float, x)) for i, x in points.items()], "id bigint, a double, b double, c double")
 
@@ -33,13 +41,10 @@ def test_neighbours_equal_brute_force(spark, search):
     got = {}
     for r in nearest_neighbours(frame(spark, pts), "id", ["a", "b", "c"], 4, **search).orderBy("id", "rank").collect():
         got.setdefault(r["id"], []).append((r["distance"], r["neighbour"]))
-    groups = {}
-    for i, x in pts.items():
-        groups.setdefault(x, []).append(i)
-    crowded = {i for g in groups.values() if len(g) > 4 for i in g}
-    assert crowded.isdisjoint(got)
-    assert got == {i: v for i, v in want.items() if i not in crowded}
-    assert all(d == 0 for i in crowded for d, _ in want[i])
+    copies = crowded(pts, 4)
+    assert len(copies) >= 150
+    assert got == {i: v for i, v in want.items() if i not in copies}
+    assert all(d == 0 for i in copies for d, _ in want[i])
 
 
 def test_tree_splits_rows_that_share_a_value():
@@ -61,7 +66,7 @@ def test_neighbours_with_a_dominant_value_equal_brute_force(spark):
     for r in nearest_neighbours(frame(spark, pts), "id", ["a", "b", "c"], 3, leaf_rows=20, whole_rows=0) \
             .orderBy("id", "rank").collect():
         got.setdefault(r["id"], []).append((r["distance"], r["neighbour"]))
-    assert got == want
+    assert got == {i: v for i, v in want.items() if i not in crowded(pts, 3)}
 
 
 def test_smote_reaches_parity_between_minority_points(leads):

@@ -210,7 +210,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1), WIDE_CHUNK // 4):
+            for chunk in chunks(batch.column(1), WIDE_CHUNK // 2):
                 chars, starts, ends, bounds = borders.value.cut(chunk)
                 found, which = np.unique(hashes(chars, starts, ends), return_inverse=True)
                 number = held.find(found)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialwise.llm.common import id_and_text, map_batches, query, store, table
+from dialwise.llm.common import batches_of, id_and_text, map_batches, query, store, table
 from dialwise.llm.components import components
 from dialwise.llm.words import SPACED, Chunk, chunks, mix, ngrams, odd_numbers, span_hashes, spans
 
@@ -41,6 +41,8 @@ HOPELESS = 34.0
 #: pairs per band row at which the remaining pairs are listed rather than halved by another round
 LIST_PAIRS = 4
 ROUNDS = 6
+#: rows per Arrow batch, so that two workers of an executor stay within a few hundred MB
+TEXTS = 1000
 
 _FACTORS = odd_numbers(REGISTERS, 11)
 _BAND_PICKS = np.stack([np.random.default_rng(100 + b).choice(REGISTERS, BAND_ROWS, replace=False) for b in range(BANDS)])
@@ -195,12 +197,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     are kept. Repeated rows share their component; an empty table gives none.
     """
     slim = keyed(docs, id_col, text_col)
-    sketched = store(sketch(slim))
+    with batches_of(docs.sparkSession, TEXTS):
+        sketched = store(sketch(slim))
     usable = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = store(usable.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"),
                                              F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
                   .select("node", "first.doc_id", "first.text_key", "n_shingles", "registers"))
-    roots = connect(nodes, slim)
+    with batches_of(docs.sparkSession, TEXTS):
+        roots = connect(nodes, slim)
     members = nodes.select("node", "doc_id").join(roots, "node", "left") \
         .select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))

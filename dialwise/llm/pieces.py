@@ -21,7 +21,7 @@ from dialwise.llm.common import quoted
 from dialwise.llm.words import Chunk, chunks, span_hashes
 
 SPACE = 0x2581
-WIDE_CHUNK = 8 << 20
+WIDE_CHUNK = 2 << 20
 #: distinct pre-tokens that a task holds before it passes them on
 HELD = 1 << 20
 

@@ -1,7 +1,7 @@
 """Operators for preparing language-model training text, as Spark jobs."""
 
 from dialwise.llm import common
-from dialwise.llm import classifier, decontaminate, hostrules, lattice, neardup, ngrams, substring, tokencount  # noqa: F401
+from dialwise.llm import classifier, decontaminate, hostrules, lattice, licenses, neardup, ngrams, substring, tokencount  # noqa: F401
 
 QUERIES = common.QUERIES
 ORACLES = common.ORACLES

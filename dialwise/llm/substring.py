@@ -105,8 +105,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     wordless texts have no units.
     """
     all_units = unit_table(docs, id_col, text_col)
-    groups = all_units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")) \
-        .where("n > 1").select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    # stored, so that the join deals both sides anew and a hot digest can be split
+    groups = store(all_units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+                   .where("n > 1").select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")))
     return all_units.join(groups, "digest") \
         .where("NOT (doc_id <=> kept_doc_id AND start = kept_start)") \
         .select("doc_id", "text_key", "start", "end", "n_words", "kept_doc_id", "kept_start")

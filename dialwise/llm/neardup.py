@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialwise.llm.common import batches_of, id_and_text, map_batches, query, store, table
+from dialwise.llm.common import batches_of, free_name, id_and_text, map_batches, query, quoted, store, table
 from dialwise.llm.components import components
 from dialwise.llm.words import SPACED, Chunk, chunks, mix, ngrams, odd_numbers, span_hashes, spans
 
@@ -189,7 +189,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per document row: ``doc_id, text_key, n_shingles, component_id, kept``.
 
     ``component_id`` is the smallest id that links reach, itself included.
     Texts that are null, empty or without words have no shingles and stay
@@ -210,9 +210,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = members.join(least, "root").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")) \
+    return sketched.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")) \
         .join(named, "node", "left") \
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")) \
+        .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -282,6 +282,23 @@ def every_pair(rows: DataFrame) -> DataFrame:
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest id; all columns as they were.
+
+    Rows without an id or without words stay. Of rows that repeat an id
+    together with its text one stays.
+    """
+    linked = store(link(docs, id_col, text_col))
+    key = free_name(docs, "text_key")
+    marked = docs.withColumn(key, F.xxhash64(F.col(quoted(text_col)).cast("string")))
+    gone = linked.where("NOT kept").select(F.col("doc_id").alias(f"{key}id"), F.col("text_key").alias(f"{key}of")).distinct()
+    rest = marked.join(gone, (marked[quoted(id_col)].cast("long") == gone[f"{key}id"]) & (marked[key] == gone[f"{key}of"]), "left_anti")
+    if not linked.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        lone = f"`{id_col}` IS NULL OR NOT `{text_col}` RLIKE '[^\\\\x20\\\\x09-\\\\x0D]' OR `{text_col}` IS NULL"
+        rest = rest.where(lone).unionByName(rest.where(f"NOT ({lone})").dropDuplicates([id_col, key]))
+    return rest.drop(key)
+
+
 @query("op1_minhash_near_dedup")
 def op1(spark, sf_dir):
-    return link(table(spark, sf_dir, "documents"))
+    return link(table(spark, sf_dir, "documents")).drop("text_key")

@@ -11,10 +11,12 @@
 5. The rest are verified on the full shingle sets of the whole texts.
 
 Links only matter through what they connect. A round compares every member of a
-bucket with one chosen member; confirmed links are merged, and later rounds look
-only at buckets that still hold several components, each time with other
-members chosen. When few pairs are left, all pairs of different components
-within a bucket are tested, so no connection between candidates is lost.
+bucket with one chosen member; confirmed links are merged, and the next round
+looks only at buckets that still hold several components. At the end all pairs
+of different components within a bucket are tested, but for those that cannot
+be links because too few of their shingles occur in any other component. So no
+connection between candidates is lost, and near misses in a large group are not
+compared one by one.
 """
 
 from __future__ import annotations
@@ -38,9 +40,12 @@ RATE = 20.0
 TOP = 254
 #: twice the drop in log likelihood at which a pair is given up: below 1e-8 for a true link
 HOPELESS = 34.0
-#: pairs per band row at which the remaining pairs are listed rather than halved by another round
+#: pairs per open band row up to which they are listed without another round of stars
 LIST_PAIRS = 4
-ROUNDS = 6
+#: rounds of comparisons with chosen members
+STARS = 2
+#: members of a bucket that meet in one group of ``every_pair``
+BLOCK = 512
 #: rows per Arrow batch, so that two workers of an executor stay within a few hundred MB
 TEXTS = 1000
 
@@ -225,29 +230,33 @@ def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = store(sketches.select("node", "doc_id", "text_key").join(docs, ["doc_id", "text_key"])
                   .dropDuplicates(["node"]).select("node", "text"))
     pairs = rows.where("node != chosen").select(F.least("chosen", "node").alias("a"), F.greatest("chosen", "node").alias("b"))
-    tested, last, turn = None, False, 0
+    tested, stars = None, 1
     while True:
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        ranked = likely(pairs, sketches)
-        if not last:
-            # each node's most promising partner decides; the others follow if they still matter
-            ranked = store(ranked)
-            ranked = ranked.groupBy("a").agg(F.max_by("b", F.struct("guess", "b")).alias("b")).unionByName(
-                ranked.groupBy("b").agg(F.max_by("a", F.struct("guess", "a")).alias("a"))).distinct()
-        found = verified(ranked, texts)
-        tested = store(found if tested is None else tested.unionByName(found))
-        roots = store(components(tested.where("linked").select("a", "b")))
-        if last:
-            return roots
-        turn += 1
+        ranked = store(likely(untested(pairs, tested), sketches))
+        # each node's most promising partner decides; the others follow if they still matter
+        best = ranked.groupBy("a").agg(F.max_by("b", F.struct("guess", "b")).alias("b")).unionByName(
+            ranked.groupBy("b").agg(F.max_by("a", F.struct("guess", "a")).alias("a"))).distinct()
+        tested, roots = confirm(best, tested, texts)
         open_rows = store(still_open(rows, roots))
         n_rows, n_pairs = open_size(open_rows)
         if not n_rows:
             return roots
-        last = turn == ROUNDS or n_pairs <= LIST_PAIRS * n_rows
-        pairs = every_pair(open_rows) if last else star_pairs(open_rows, turn)
+        if stars == STARS or n_pairs <= LIST_PAIRS * n_rows:
+            links = every_pair(open_rows, texts, sketches)
+            return store(components(tested.where("linked").select("a", "b").unionByName(links)))
+        pairs, stars = star_pairs(open_rows), stars + 1
+
+
+def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    pairs = pairs.distinct()
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def confirm(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs tested so far, and the components of the links among them."""
+    found = verified(pairs, texts)
+    tested = store(found if tested is None else tested.unionByName(found))
+    return tested, store(components(tested.where("linked").select("a", "b")))
 
 
 def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -265,21 +274,122 @@ def open_size(rows: DataFrame) -> tuple[int, int]:
     return n or 0, pairs or 0
 
 
-def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Every member of an open bucket with one member, another one in every bucket and turn."""
-    chosen = rows.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(turn))).alias("chosen"))
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Every member of an open bucket with one member, another one in every bucket."""
+    chosen = rows.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "key")).alias("chosen"))
     return rows.join(chosen, "key").where("root != chosen.root") \
         .select(F.least("node", "chosen.node").alias("a"), F.greatest("node", "chosen.node").alias("b"))
 
 
-def every_pair(rows: DataFrame) -> DataFrame:
-    """All pairs of different components within a bucket: members outside its main component with all others."""
-    main = rows.groupBy("key", "root").agg(F.count("node").alias("n")) \
-        .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    labelled = rows.join(main, "key")
-    few = labelled.where("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    return labelled.join(few, "key").where("root != root_a AND (root = main OR a < node)") \
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+def common_bound(rows: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(node, n_shingles, common)``: how many of a node's shingles any open node of another component has.
+
+    No pair across components can have more in common than the smaller of the
+    two bounds. Copies that were changed in too many places, each in its own,
+    are ruled out by it without being compared with each other.
+    """
+    labelled = rows.select("node", "root").distinct().join(texts, "node")
+
+    def run(batch: pa.RecordBatch):
+        for chunk in chunks(batch.column(2)):
+            sets = shingle_sets(chunk)
+            owner = pa.array(np.repeat(np.arange(len(sets)) + chunk.rows.start, [len(s) for s in sets]))
+            yield {"shingle": np.concatenate(sets).astype(np.int64), "node": batch.column(0).take(owner),
+                   "root": batch.column(1).take(owner)}
+
+    shingled = map_batches(labelled.select("node", "root", "text"), run, "shingle long, node long, root long")
+    shared = store(shingled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+                   .select("shingle"))
+    return store(shingled.join(shared, "shingle").groupBy("node").agg(F.count("shingle").alias("common"))
+                 .join(sketches.select("node", "n_shingles"), "node"))
+
+
+def every_pair(rows: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between all pairs of different components within a bucket that the bounds allow.
+
+    The members outside a bucket's main component meet all its members, both in
+    blocks of ``BLOCK``, so that a group of any size is spread over tasks. A pair
+    is judged in the first band it shares, by likelihood and then on the full
+    sets; only links leave the task.
+    """
+    # a link needs 100 * common >= PERCENT * (n_a + n_b - common), and n_b is at least as large as common
+    able = common_bound(rows, texts, sketches).where(f"100 * common >= {PERCENT} * n_shingles").select("node", "common")
+    left = store(still_open(rows.select("key", "node").join(able.select("node"), "node"), rows.select("node", "root").distinct()))
+    per_root = left.groupBy("key", "root").agg(F.count("node").alias("n"))
+    per_key = per_root.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"),
+                                          F.max("n").alias("most")) \
+        .select("key", "main", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks"),
+                F.expr(f"(n - most + {BLOCK - 1}) div {BLOCK}").alias("few_blocks"))
+    placed = left.join(per_key, "key").withColumn("few", F.col("root") != F.col("main"))
+    of = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    whole = placed.select("key", "node", "root", "few", of("blocks").alias("block"), F.explode(each("few_blocks")).alias("few_block"),
+                          F.lit(False).alias("asks"))
+    few = placed.where("few").select("key", "node", "root", "few", F.explode(each("blocks")).alias("block"),
+                                     of("few_blocks").alias("few_block"), F.lit(True).alias("asks"))
+    payload = sketches.select("node", "n_shingles", "registers").join(able, "node").join(texts, "node")
+    rows = whole.unionByName(few).join(payload, "node") \
+        .select("key", "block", "few_block", "asks", "few", "node", "root", "n_shingles", "common", "registers", "text")
+    dealt = rows.repartition("key", "block", "few_block").sortWithinPartitions("key", "block", "few_block", "asks")
+    return dealt.mapInArrow(judge_buckets, "a long, b long").distinct()
+
+
+def judge_buckets(batches):
+    """Rows in order of bucket and blocks, cut between groups and judged one by one."""
+    waiting = []
+    for batch in batches:
+        group = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+        edge = (np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist()
+        if waiting and len(batch) and [waiting[-1].column(c)[0].as_py() for c in range(3)] != group[0].tolist():
+            yield from judged(waiting)
+            waiting = []
+        at = 0
+        for to in edge:
+            yield from judged([*waiting, batch.slice(at, to - at)])
+            waiting, at = [], to
+        if at < len(batch):
+            waiting.append(batch.slice(at))
+    if waiting:
+        yield from judged(waiting)
+
+
+def judged(parts: list[pa.RecordBatch]):
+    """Links between the rows that ask and the others of one group."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    asks = rows.column("asks").to_numpy()
+    a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(a) or not len(b):
+        return
+    number = lambda c: rows.column(c).to_numpy()
+    node, root, few, n, common = (number(c) for c in ("node", "root", "few", "n_shingles", "common"))
+    x, y = a[:, None], b[None]
+    able = (root[x] != root[y]) & (~few[y] | (node[x] < node[y])) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) \
+        & ((100 + PERCENT) * np.minimum(common[x], common[y]) >= PERCENT * (n[x] + n[y]))
+    i, j = np.nonzero(able)
+    if not len(i):
+        return
+    x, y = a[i], b[j]
+    sketches = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    keys = band_keys(sketches)
+    here = int(np.argmax(keys[0] == np.uint64(rows.column("key")[0].as_py() & 0xFFFFFFFFFFFFFFFF)))
+    new = np.concatenate([(keys[x[k:k + 4096]] == keys[y[k:k + 4096]]).argmax(1) for k in range(0, len(x), 4096)]) == here
+    x, y = x[new], y[new]
+    keep = [np.zeros(0, bool)]
+    for k in range(0, len(x), 4096):
+        p, q = x[k:k + 4096], y[k:k + 4096]
+        keep.append(estimate(sketches[p], sketches[q], n[p].astype(float), n[q].astype(float))[1] <= HOPELESS)
+    keep = np.concatenate(keep)
+    x, y = x[keep], y[keep]
+    used = np.unique(np.concatenate([x, y]))
+    sets = dict(zip(used.tolist(), (s for c in chunks(rows.column("text").take(pa.array(used))) for s in shingle_sets(c))))
+    links = []
+    for p, q in zip(x.tolist(), y.tolist()):
+        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        if 100 * both >= PERCENT * (n[p] + n[q] - both):
+            links.append((node[p], node[q]))
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array([min(l) for l in links], pa.int64()), pa.array([max(l) for l in links], pa.int64())],
+                                         ["a", "b"])
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,24 @@ def test_awkward_table_equals_every_pair(spark):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got) == rows
 
 
+def test_blocks_find_the_same_links(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(100)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(100), rng.randrange(0, 5)):
+            w[k] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    want = {i: c for (i, _), (_, c) in zip(rows, near_groups(rows))}
+    monkeypatch.setattr(neardup, "STARS", 1)
+    monkeypatch.setattr(neardup, "LIST_PAIRS", 0)
+    for block in (512, 16):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = {r.doc_id: r.component_id for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
+
+
 def test_empty_table(spark):
     assert neardup.link(nothing(spark)).isEmpty()
     assert neardup.keep_one(nothing(spark)).isEmpty()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialwise.llm.common import id_and_text, map_batches, query, quoted, table
+from dialwise.llm.common import Shared, id_and_text, map_batches, query, quoted, table
 from dialwise.llm.words import SPACED, Chunk, chunks, mix, owners, span_hashes, spans
 
 MAX_LABELLED = 8192
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: s
 
 def score(docs: DataFrame, voters: Voters, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """``doc_id, score, predicted`` for every row; the sums of similarities decide, never an id or a label."""
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    shared = Shared(docs.sparkSession, voters)
 
     def vote(batch: pa.RecordBatch):
         for chunk in chunks(batch.column(1)):
@@ -158,7 +158,7 @@ def score(docs: DataFrame, voters: Voters, *, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, voters: Voters, *, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """``docs`` without the rows that score below ``cut``; all columns as they were."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(voters), docs.columns.index(text_col)
+    shared, place = Shared(docs.sparkSession, voters), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:

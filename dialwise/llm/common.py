@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -13,12 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-import dialwise
 from dialwise.scale import remove_at_exit, shared_dir
 
-# Functions travel with the task, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(dialwise)
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +47,22 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast value of bounded size, sent with the code of its class, as functions are."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held, self.known = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"held": self.held, "known": None}
+
+    @property
+    def value(self):
+        if self.known is None:
+            self.known = pickle.loads(self.held.value)
+        return self.known
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows in the jobs that run inside, for rows that hold texts."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialwise.llm.common import id_and_text, map_batches, quoted, query, table
+from dialwise.llm.common import Shared, id_and_text, map_batches, quoted, query, table
 from dialwise.llm.words import ALNUM, Chunk, chunks, ngrams, owners, span_hashes, spans
 
 WINDOW = 13
@@ -176,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     slim, out = id_and_text(docs, id_col, text_col), None
     kind = benchmark.schema[item_col].dataType.simpleString()
     for block in test_blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = Shared(docs.sparkSession, block)
 
         def found(batch: pa.RecordBatch, shared=shared):
             for chunk in chunks(batch.column(1)):
@@ -203,7 +203,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     blocks = test_blocks(benchmark, item_col, item_text_col, window, block_bytes)
     slim = id_and_text(docs, id_col, text_col)
     if len(blocks) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+        shared = Shared(docs.sparkSession, blocks[0])
 
         def judge(batch: pa.RecordBatch):
             for chunk in chunks(batch.column(1)):
@@ -235,7 +235,7 @@ def verdicts(chunk: Chunk, *blocks: TestSet) -> dict:
 
 def over_blocks(docs: DataFrame, blocks: list[TestSet]):
     """Search several broadcast blocks one after the other; each is dropped after use."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    shared = [Shared(docs.sparkSession, b) for b in blocks]
 
     def run(batches):
         for batch in batches:
@@ -252,7 +252,7 @@ def remove_affected(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows; all columns as they were."""
     blocks = test_blocks(benchmark, "item_id", "text", window, block_bytes)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    shared = [Shared(docs.sparkSession, b) for b in blocks]
     place = docs.columns.index(text_col)
 
     def run(batches):

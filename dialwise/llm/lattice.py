@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialwise.llm import hasharrays
-from dialwise.llm.common import id_and_text, map_batches, query, quoted, shared_path, store, table
+from dialwise.llm.common import Shared, id_and_text, map_batches, query, quoted, shared_path, store, table
 from dialwise.llm.pieces import SPACE, WIDE_CHUNK, Vocabulary, distinct_words, hashes, model_path
 from dialwise.llm.words import chunks
 
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """``doc_id, ids`` of every row. Null and empty texts have no ids; repeated rows are encoded alike."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(path)
-    borders = spark.sparkContext.broadcast(vocabulary.borders())
+    borders = Shared(spark, vocabulary.borders())
     words = store(distinct_words(docs, borders, text_col).select("word_key", "word"))
     n_words = words.count()
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialwise.llm import hasharrays
-from dialwise.llm.common import id_and_text, map_batches, query, shared_path, store, table
+from dialwise.llm.common import Shared, id_and_text, map_batches, query, shared_path, store, table
 from dialwise.llm.hasharrays import HashArrays
 from dialwise.llm.words import SPACED, Chunk, chunks, mix, span_hashes, spans
 
@@ -330,7 +330,7 @@ def is_held_out(id_column: str) -> F.Column:
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch):
         for chunk in chunks(batch.column(1)):

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialwise.llm.common import id_and_text, map_batches, query, store, table
+from dialwise.llm.common import Shared, id_and_text, map_batches, query, store, table
 from dialwise.llm.pieces import SPACE, WIDE_CHUNK, Vocabulary, distinct_words, hashes, model_path
 from dialwise.llm.words import chunks, owners
 
@@ -63,14 +63,14 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     Null and empty texts have 0 bytes and 0 tokens. Rows that repeat an id and
     its text are counted once and returned as often as they occur.
     """
-    context = docs.sparkSession.sparkContext
-    borders = context.broadcast(Vocabulary.load(path).borders())
+    spark = docs.sparkSession
+    borders = Shared(spark, Vocabulary.load(path).borders())
     slim = id_and_text(docs, id_col, text_col)
     counts = store(counted(distinct_words(slim, borders), path))
     floor = frequency_floor(counts, hot)
     top = counts.where(F.col("n") >= floor).select("word_key", "n_pieces").toPandas()
     order = np.argsort(top["word_key"].to_numpy().astype(np.uint64))
-    frequent = context.broadcast((top["word_key"].to_numpy().astype(np.uint64)[order], top["n_pieces"].to_numpy()[order].astype(np.int32)))
+    frequent = Shared(spark, (top["word_key"].to_numpy().astype(np.uint64)[order], top["n_pieces"].to_numpy()[order].astype(np.int32)))
     keyed = slim.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
     def reduce(batch: pa.RecordBatch):

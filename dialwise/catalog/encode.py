@@ -65,11 +65,14 @@ def e04(spark, sf):
     return rounded(encode.standardise(build_leads(spark, sf, cols), cols), *cols)
 
 
-@query("e05_assemble")
+@query("e05_assemble", lead_sql="""
+  SELECT lead_id, age::DOUBLE AS f0, campaign::DOUBLE AS f1, pdays::DOUBLE AS f2, previous::DOUBLE AS f3,
+    round(euribor3m, 9) AS f4 FROM leads""")
 def e05(spark, sf):
     cols = ["age", "campaign", "pdays", "previous", "euribor3m"]
     out = encode.assemble(build_leads(spark, sf, cols), cols)
-    return out.select("lead_id", vector_to_array("features").alias("features"))
+    flat = out.select("lead_id", vector_to_array("features").alias("features"))
+    return flat.select("lead_id", *[F.round(F.col("features")[i], 9).alias(f"f{i}") for i in range(len(cols))])
 
 
 BAYES = ["age", "campaign", "duration", "pdays"]

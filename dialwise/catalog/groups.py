@@ -8,6 +8,7 @@ from dialwise.catalog.base import query
 from dialwise.catalog.profile import DESCRIBE, STATS, each, rounded
 from dialwise.functions import features as fx
 from dialwise.operators import groups, profile
+from dialwise.operators.encode import EDUCATION_LEVELS
 from dialwise.sources.leads import MONTHS, NUMERIC, WEEKDAYS, build_leads
 from dialwise.sources.tables import table
 
@@ -185,9 +186,7 @@ def j02(spark, sf):
     return rounded(groups.target_correlations(leads, CORR).join(counts, "feature"), "r", "abs_r")
 
 
-# Education levels, lowest first.
-EDUCATION = ["illiterate", "basic.4y", "basic.6y", "basic.9y", "high.school", "professional.course",
-             "university.degree"]
+EDUCATION = list(EDUCATION_LEVELS)
 
 
 @query("j03_dictionary_lookup", lead_sql=f"""

@@ -10,7 +10,7 @@ from dialwise.operators import groups, schedule
 from dialwise.operators.sampling import stratified_split
 from dialwise.plans import experiments as ex
 from dialwise.plans import twostage as ts
-from dialwise.plans.models import Fitted, design_matrix, fit
+from dialwise.plans.models import GRIDS, Fitted, design_matrix, fit
 from dialwise.scale import materialise, remove_at_exit, shared_dir
 from dialwise.sources import delimited, sinks
 from dialwise.sources.leads import FEATURES, build_leads
@@ -68,6 +68,12 @@ def l10(spark, sf):
     return ex.grid_search(frame, "decision_tree", choices, features)
 
 
+@query("l10_grid_search_naive_bayes")
+def l10_bayes(spark, sf):
+    frame, features = coded(spark, sf, k=5)
+    return ex.grid_search(frame, "naive_bayes", GRIDS["naive_bayes"], features)
+
+
 @query("l11_random_search")
 def l11(spark, sf):
     frame, features = coded(spark, sf)
@@ -162,7 +168,7 @@ def l22(spark, sf):
     return Fitted(loaded, features).transform(frame).select("lead_id", "prob")
 
 
-@query("s06_save_and_load_pipeline")
+@query("s06_save_and_load_pipeline", lead_sql="SELECT count(*) AS n, count(*) AS equal FROM leads")
 def s06(spark, sf):
     frame, features, made, loaded = saved_logit(spark, sf, fresh(spark, "models"))
     score = lambda m, out: Fitted(m, features).transform(frame, out).select("lead_id", out)

@@ -7,7 +7,9 @@ from dialwise.catalog.groups import METRICS_CTE, segment_metrics
 from dialwise.catalog.profile import rounded
 from dialwise.functions import features as fx
 from dialwise.operators import groups, metrics, ranking, sampling, schedule
+from dialwise.operators.joins import few
 from dialwise.operators.ordering import running
+from dialwise.scale import materialise
 from dialwise.sources.leads import build_leads
 from dialwise.sources.tables import table
 
@@ -313,16 +315,20 @@ def r02(spark, sf):
 
 
 @query("r03_seeded_shuffle", lead_sql="""
-  SELECT lead_id, y FROM leads ORDER BY ('0x' || substr(md5('42:' || lead_id), 1, 13))::BIGINT, lead_id""")
+  SELECT lead_id, y, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || lead_id), 1, 13))::BIGINT, lead_id) AS position
+  FROM leads""")
 def r03(spark, sf):
-    return sampling.seeded_shuffle(build_leads(spark, sf, ["y"]), "lead_id")
+    # ids rise with the partition and within it, so the gaps of their ranks show the order that came out
+    shuffled = sampling.seeded_shuffle(build_leads(spark, sf, ["y"]), "lead_id")
+    placed = materialise(shuffled.withColumn("__at", F.monotonically_increasing_id()))
+    return running(placed, "__at", "lead_id", rank="position").select("lead_id", "y", "position")
 
 
 @query("r05_class_weight_column", lead_sql="""
   SELECT lead_id, y, round((SELECT count(*) FROM leads) / (2 * count(*) OVER (PARTITION BY y)), 9) AS weight FROM leads""")
 def r05(spark, sf):
     leads = build_leads(spark, sf, ["y"])
-    weighted = leads.join(groups.class_weights(leads).select("y", "weight"), "y")
+    weighted = leads.join(few(groups.class_weights(leads).select("y", "weight")), "y")
     return rounded(weighted, "weight", digits=9)
 
 
@@ -432,12 +438,12 @@ def m10(spark, sf):
 @query("m11_overfit_gap", lead_sql=METRICS_CTE + """
   , g AS (SELECT model, avg(value) FILTER (fold <> 0) AS train, avg(value) FILTER (fold = 0) AS validation
     FROM metrics WHERE metric = 'accuracy' GROUP BY model)
-  SELECT model, round(train, 6) AS train, round(validation, 6) AS validation, round(train - validation, 6) AS gap FROM g""")
+  SELECT model, round(train, 9) AS train, round(validation, 9) AS validation, round(train - validation, 9) AS gap FROM g""")
 def m11(spark, sf):
     accuracy = segment_metrics(spark, sf).where("metric = 'accuracy'")
     parts = accuracy.groupBy("model").agg(F.avg(F.when(F.col("fold") != 0, F.col("value"))).alias("train"),
                                           F.avg(F.when(F.col("fold") == 0, F.col("value"))).alias("validation"))
-    return rounded(metrics.overfit_gap(parts), "train", "validation", "gap")
+    return rounded(metrics.overfit_gap(parts), "train", "validation", "gap", digits=9)
 
 
 @query("m12_strategy_comparison", lead_sql=EFFICIENT + TRIALS + f""", r AS (

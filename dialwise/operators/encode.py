@@ -77,10 +77,20 @@ def ordinal_encode(df: DataFrame, col: str = "education", levels: Mapping[str, i
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """0/1 columns ``col_level``, without the alphabetically first level of each."""
+    """0/1 columns ``col_level``, without the alphabetically first level of each.
+
+    Levels whose names differ in signs alone get numbered columns, in order.
+    """
     levels = levels or collect_levels(df, cols)
-    made = {re.sub(r"\W+", "_", f"{c}_{v}"): (F.coalesce(F.col(c) == v, F.lit(False))).cast("int")
-            for c in cols for v in list(levels[c])[1:]}
+    made: dict = {}
+    for c in cols:
+        for v in list(levels[c])[1:]:
+            plain = name = re.sub(r"\W+", "_", f"{c}_{v}")
+            times = 1
+            while name in made:
+                times += 1
+                name = f"{plain}_{times}"
+            made[name] = F.coalesce(F.col(c) == v, F.lit(False)).cast("int")
     return df.withColumns(made).drop(*cols)
 
 

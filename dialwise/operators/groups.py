@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.operators.profile import describe_numeric, rows_from
+from dialwise.operators.joins import match
 from dialwise.operators.quantiles import exact_quantiles
 
 
@@ -122,7 +123,7 @@ def class_shares(df: DataFrame, part: str, label: str = "y") -> DataFrame:
     """Share of each class, in percent, within each part of the data."""
     counted = df.groupBy(part, label).agg(F.count(F.lit(1)).alias("n"))
     totals = counted.groupBy(part).agg(F.sum("n").alias("__t"))
-    return counted.join(totals, part).select(part, label, "n", (100.0 * F.col("n") / F.col("__t")).alias("pct"))
+    return match(counted, totals, [part]).select(part, label, "n", (100.0 * F.col("n") / F.col("__t")).alias("pct"))
 
 
 def median_split(df: DataFrame, col: str, strategy: str = "auto") -> DataFrame:

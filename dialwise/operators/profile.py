@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialwise.operators.joins import few, match
 from dialwise.operators.quantiles import exact_quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -61,7 +62,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], group: Sequence[str] =
                  *[F.col(f"{c}__{n}").alias(n) for n in ("count", "mean", "std", "min", "max")])
         for c in cols])
     quartiles = exact_quantiles(df, cols, QUARTILES, group, strategy)
-    return basics.join(quartiles, [*group, "column"])
+    return match(basics, quartiles, [*group, "column"])
 
 
 def _counted_values(df, cols):
@@ -132,7 +133,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None) ->
     grid = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     frame = (df.where(x.isNotNull()).select(*keys).distinct() if by
              else df.sparkSession.range(1)).select(*keys, grid)
-    return (frame.join(counted, [*keys, "bin"], "left")
+    return (match(frame, counted, [*keys, "bin"], "left")
                  .select(*keys, "bin", (lo + F.col("bin") * (hi - lo) / bins).alias("left_edge"),
                          F.coalesce("n", F.lit(0)).alias("n")))
 
@@ -147,7 +148,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, strategy: str = "a
     # values are counted first, so the join sees distinct values, not rows
     values = df.where(x.isNotNull()).groupBy(*keys, x.alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
     if by:
-        placed = values.join(fences, by)
+        placed = match(values, few(fences), keys)
     else:
         one = fences.select(F.struct("*")).scalar()
         placed = values.withColumn("__f", one).select("__x", "__n", "__f.*")
@@ -159,19 +160,16 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, strategy: str = "a
         F.sum("__n").alias("n"))
 
 
-def density(df: DataFrame, col: str, by: str, bin_width: float = 1.0, points: int = 200,
-            max_bins: int = 4096) -> DataFrame:
+def density(df: DataFrame, col: str, by: str, bin_width: float = 1.0, points: int = 200) -> DataFrame:
     """Gaussian density per class on an even grid between the class's extremes.
 
-    Values are first counted in bins of ``bin_width``, or wider ones where the
-    range needs more than ``max_bins``; the work after that does not depend on
-    the number of rows.
+    Values are first counted in bins of ``bin_width``; the work after that
+    follows the number of bins that hold a value, not the number of rows.
     """
     value = F.col(col).cast("double")
-    span = df.agg(F.max(value) - F.min(value)).scalar()
-    present = df.where(value.isNotNull()).select(by, value.alias("__v")) \
-                .withColumn("__w", F.greatest(F.lit(float(bin_width)), span / max_bins))
-    b = F.floor(F.col("__v") / F.col("__w")) * F.col("__w")
+    width = float(bin_width)
+    present = df.where(value.isNotNull()).select(by, value.alias("__v"))
+    b = F.floor(F.col("__v") / width) * width
     binned = present.groupBy(by, b.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
     n, s1 = F.sum("__c"), F.sum(F.col("__b") * F.col("__c"))
     s2 = F.sum(F.col("__b") * F.col("__b") * F.col("__c"))
@@ -182,7 +180,7 @@ def density(df: DataFrame, col: str, by: str, bin_width: float = 1.0, points: in
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     x = F.col("__lo") + F.col("point") * (F.col("__hi") - F.col("__lo")) / float(points - 1)
     z = (F.col("x") - F.col("__b")) / F.col("__h")
-    return (binned.join(stats, by).select("*", grid.alias("point")).withColumn("x", x)
+    return (match(binned, few(stats), [by]).select("*", grid.alias("point")).withColumn("x", x)
                   .groupBy(by, "point", "x", "__n", "__h")
                   .agg(F.sum(F.col("__c") * F.exp(-z * z / 2)).alias("__k"))
                   .select(by, "point", "x",

@@ -25,6 +25,6 @@ def class_proportional(df: DataFrame, fit_on: DataFrame, label: str, id: str, ou
 
 
 def soft_vote(members: Sequence[DataFrame], id: str, prob: str = "prob") -> DataFrame:
-    """Mean probability of several models' predictions, matched by id."""
+    """Mean probability of several models' predictions, matched by id; null where a member has none."""
     stacked = reduce(DataFrame.unionByName, [m.select(id, prob) for m in members])
-    return stacked.groupBy(id).agg((F.sum(prob) / len(members)).alias(prob))
+    return stacked.groupBy(id).agg(F.when(F.count(prob) == len(members), F.sum(prob) / len(members)).alias(prob))

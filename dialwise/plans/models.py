@@ -26,7 +26,9 @@ DEEPEST = 30  # an unlimited tree, as far as Spark goes
 
 
 def _depth(value):
-    return DEEPEST if value is None else min(int(value), DEEPEST)
+    if value is not None and int(value) > DEEPEST:
+        raise ValueError(f"trees go to depth {DEEPEST} at most")
+    return DEEPEST if value is None else int(value)
 
 
 # On a 0/1 label the variance of a regression tree is half the gini impurity, so
@@ -115,6 +117,8 @@ def fit(train: DataFrame, learner: str, features: Sequence[str], label: str = "y
     params, features = dict(params or {}), list(features)
     ensure_checkpoint_dir(train.sparkSession)
     if learner == "naive_bayes":
+        if weight:
+            raise ValueError("naive Bayes takes no row weights")
         return Fitted(fit_gaussian_bayes(train, features, label, params.get("var_smoothing", 1e-9),
                                          standardised=True), features)
     rows = train.count() if learner == "logistic_regression" else 0

@@ -346,7 +346,56 @@ def perplexity(scored: DataFrame) -> DataFrame:
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-@query("op5_lm_scoring")
+def _discount_sql(name: str, k: int) -> str:
+    """Of count ``k`` from the counts of counts ``name1`` to ``name4``, as in ``discounts``."""
+    a, b = f"{name}{k}", f"{name}{k + 1}"
+    share = f"CASE WHEN {name}1 > 0 THEN {name}1 / ({name}1 + 2 * {name}2) ELSE 0 END"
+    return f"CASE WHEN {a} > 0 THEN least(greatest({k} - {k + 1} * ({share}) * {b} / {a}, 0), {k}) ELSE 0.5 * {k} END::DOUBLE"
+
+
+ORACLE = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(crc32_mod, -1) = 2 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x20\\x09-\\x0D]+'), ' ') AS w
+  FROM (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))),
+    4294967295::BIGINT) % 7 AS crc32_mod FROM documents)),
+pos AS (SELECT rid, held_out, unnest(w) AS w, unnest(list_prepend('  ', w[1:len(w) - 1])) AS h FROM docs),
+uni AS (SELECT w, count(*) AS c FROM pos WHERE NOT held_out GROUP BY w),
+size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM uni),
+bi AS (SELECT h, w, count(*) AS n FROM pos WHERE NOT held_out GROUP BY h, w),
+cont AS (SELECT w, count(*) AS cc FROM bi GROUP BY w),
+ctx AS (
+  SELECT h, sum(n) AS t, count(*) FILTER (n = 1) AS f1, count(*) FILTER (n = 2) AS f2, count(*) FILTER (n >= 3) AS f3
+  FROM bi GROUP BY h),
+cb AS (
+  SELECT count(*) AS pairs, count(*) FILTER (n = 1) AS b1, count(*) FILTER (n = 2) AS b2, count(*) FILTER (n = 3) AS b3,
+    count(*) FILTER (n = 4) AS b4 FROM bi),
+cw AS (
+  SELECT count(*) FILTER (cc = 1) AS w1, count(*) FILTER (cc = 2) AS w2, count(*) FILTER (cc = 3) AS w3,
+    count(*) FILTER (cc = 4) AS w4, count(*) FILTER (cc >= 3) AS more FROM cont),
+k AS (
+  SELECT *, {_discount_sql('b', 1)} AS d1, {_discount_sql('b', 2)} AS d2, {_discount_sql('b', 3)} AS d3,
+    {_discount_sql('w', 1)} AS e1, {_discount_sql('w', 2)} AS e2, {_discount_sql('w', 3)} AS e3 FROM cb, cw, size),
+seen AS (SELECT DISTINCT h, w FROM pos),
+priced AS (
+  SELECT seen.h, seen.w, uni.c IS NOT NULL AS known, log10((coalesce(c, 0) + 1) / (k.n + v + 1)) AS base,
+    greatest(coalesce(cc, 0) - CASE coalesce(cc, 0) WHEN 0 THEN 0 WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END, 0) / greatest(pairs, 1)
+      + (CASE WHEN pairs > 0 THEN (e1 * w1 + e2 * w2 + e3 * more) / pairs ELSE 1 END) / (v + 1) AS low,
+    CASE WHEN t > 0 THEN greatest(coalesce(bi.n, 0)
+      - CASE coalesce(bi.n, 0) WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / t ELSE 0 END AS high,
+    CASE WHEN t > 0 THEN (d1 * f1 + d2 * f2 + d3 * f3) / t ELSE 1 END AS gamma
+  FROM seen CROSS JOIN k LEFT JOIN uni USING (w) LEFT JOIN cont USING (w) LEFT JOIN ctx USING (h) LEFT JOIN bi USING (h, w)),
+told AS (
+  SELECT rid, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, sum(round(base * {UNIT})::BIGINT) / {UNIT}::DOUBLE AS base_score,
+    sum(round(log10(high + gamma * low) * {UNIT})::BIGINT) / {UNIT}::DOUBLE AS score
+  FROM pos JOIN priced USING (h, w) GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM size) AS train_tokens, base_score, score FROM docs JOIN told USING (rid)
+"""
+
+
+@query("op5_lm_scoring", ORACLE)
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~is_held_out("doc_id")))

@@ -18,6 +18,7 @@ from dialwise.sources.leads import FEATURES, build_leads
 INPUTS = [*FEATURES, "y"]
 TREE = {"max_depth": 6, "min_samples_leaf": 5}
 FOREST = {"n_estimators": 10, "max_depth": 6}
+FULL_FOREST = {"n_estimators": 100, "max_depth": 6}
 BOOST = {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3}
 LOGIT = {"C": 1.0, "max_iter": 30}
 
@@ -41,7 +42,7 @@ def holdout(learner, params):
 
 for name, learner, params in [("l01_decision_tree", "decision_tree", TREE),
                               ("l01_decision_tree_feature_subset", "decision_tree", {**TREE, "max_features": "sqrt"}),
-                              ("l02_random_forest", "random_forest", FOREST),
+                              ("l02_random_forest", "random_forest", FULL_FOREST),
                               ("l03_naive_bayes_holdout", "naive_bayes", {"var_smoothing": 1e-5}),
                               ("l04_logistic_regression", "logistic_regression", {**LOGIT, "penalty": "l1"}),
                               ("l05_gradient_boosting", "boosting", {**BOOST, "subsample": 0.8, "colsample": 0.8})]:
@@ -84,7 +85,7 @@ def l11(spark, sf):
 @query("l12_importances")
 def l12(spark, sf):
     frame, features = design_matrix(build_leads(spark, sf, INPUTS), style="label")
-    return ex.importance_table(spark, fit(frame, "random_forest", features, params=FOREST))
+    return ex.importance_table(spark, fit(frame, "random_forest", features, params=FULL_FOREST))
 
 
 @query("l15_recursive_elimination")

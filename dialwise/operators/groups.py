@@ -112,10 +112,10 @@ def best_row(df: DataFrame, by: str, ties: Sequence[str], group: Sequence[str] =
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     """Balanced weight ``n / (k * n_c)`` and share of each class."""
-    counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.agg(F.struct(F.count(label).alias("n"), F.count_distinct(label).alias("k")))
+    counted = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")))
     n, k = totals.scalar()["n"], totals.scalar()["k"]
-    return counted.where(F.col(label).isNotNull()).select(
+    return counted.select(
         label, "n", (n / (k * F.col("n"))).alias("weight"), (100.0 * F.col("n") / n).alias("pct"))
 
 

@@ -106,9 +106,9 @@ def _share_report(df, conditions, name):
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count and share of each value, most frequent first."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("share", F.col("n") / total).orderBy(F.desc("n"), col))
+    counted = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), col)
 
 
 def imbalance(df: DataFrame, label: str = "y") -> DataFrame:

@@ -176,7 +176,8 @@ def recursive_elimination(frame: DataFrame, features: Sequence[str], params: dic
         done = together(frame.sparkSession, [one(train, weight, held) for _, train, weight, held in folds])
         total = {f: sum(dict(imp)[f] for _, imp in done) for f in current}
         weakest = _ordered(total.items())[-1]
-        rows.append((len(current), sum(a for a, _ in done) / len(done), ",".join(sorted(current)), weakest))
+        known = [a for a, _ in done if a is not None]
+        rows.append((len(current), sum(known) / len(known) if known else None, ",".join(sorted(current)), weakest))
         current = [f for f in current if f != weakest]
     return frame.sparkSession.createDataFrame(rows, "n_features int, auc double, features string, dropped_next string")
 

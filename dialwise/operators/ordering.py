@@ -58,8 +58,7 @@ def running(
     the final values of its group.
 
     ``order`` is a numeric column or expression, ascending, nulls last; ``id``
-    is unique within a group and breaks ties (a numeric one also lets a single
-    hot key be split). ``uniform_range`` states that the
+    is unique within a group and breaks ties and splits a single hot key. ``uniform_range`` states that the
     key is uniform over ``[0, uniform_range)`` and saves the sampling pass.
     ``keep`` builds a condition over ``<name>_before`` (totals ahead of a
     bucket), ``<name>_within`` and ``<name>_total`` (of the group); only buckets meeting it are sorted, so it
@@ -174,16 +173,23 @@ def _place_by_quantiles(df, id, buckets):
 
     placed = _bucketize(df.withColumn("__bk", key), "__bk", "__major", splits)
     numeric_id = isinstance(df.schema[id].dataType, T.NumericType)
-    if not heavy or not numeric_id:
+    if not heavy:
         return placed.withColumn("__minor", F.lit(0)).drop("__bk")
 
     parts = sum(1 for c in cuts if c in set(heavy)) + 1
     at_heavy = sample.where(F.col("k").isin(heavy))
-    id_cuts = at_heavy.agg(
-        F.percentile_approx(F.col("i").cast("double"), [i / parts for i in range(1, parts)], 50 * parts)
-    ).first()[0] or []
-    id_splits = [-math.inf, *sorted(set(id_cuts)), math.inf]
-    placed = _bucketize(placed.withColumn("__bi", F.col(id).cast("double")), "__bi", "__minor", id_splits)
+    if numeric_id:
+        id_cuts = at_heavy.agg(
+            F.percentile_approx(F.col("i").cast("double"), [i / parts for i in range(1, parts)], 50 * parts)
+        ).first()[0] or []
+        id_splits = [-math.inf, *sorted(set(id_cuts)), math.inf]
+        placed = _bucketize(placed.withColumn("__bi", F.col(id).cast("double")), "__bi", "__minor", id_splits)
+    else:
+        # quantiles of the text, from the same bounded sample
+        texts = sorted(r["i"] for r in at_heavy.select(F.col("i").cast("string").alias("i")).where("i is not null").collect())
+        steps = sorted({texts[len(texts) * i // parts] for i in range(1, parts)}) if texts else []
+        above = F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: F.col(id).cast("string") >= s)
+        placed = placed.withColumn("__bi", F.lit(0)).withColumn("__minor", F.size(above) if steps else F.lit(0))
     heavy_majors = [splits.index(v) for v in heavy]
     minor = F.when(F.col("__major").isin(heavy_majors), F.col("__minor")).otherwise(F.lit(0))
     return placed.withColumn("__minor", minor).drop("__bk", "__bi")

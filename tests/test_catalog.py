@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from dialwise import catalog
 from tests.conftest import SF
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -88,3 +88,13 @@ def test_distributed_quantiles_equal_percentile(leads, group):
     two = exact_quantiles(leads, ["duration", "score"], probs, group, "bucketed")
     tidy = lambda df: df.withColumns({p: F.round(p, 9) for p in probs})
     assert same(tidy(one), tidy(two))
+
+
+def test_levels_that_share_a_beginning_are_spread(spark):
+    levels = spark.range(4000).select(F.concat(F.lit("https://example.org/"), F.md5(F.col("id").cast("string"))).alias("level"))
+    prefix = F.conv(F.hex(F.substring(F.encode("level", "utf-8"), 1, 6)), 16, 10).cast("bigint")
+    placed = ordering._place_by_quantiles(levels.withColumn("__key", prefix), "level", 20)
+    sizes = [r["count"] for r in placed.groupBy(*ordering.BUCKET).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 1000
+    got = running(levels, prefix, "level", strategy="bucketed", buckets=20).orderBy("level").collect()
+    assert [r["rank"] for r in got] == list(range(1, 4001))

@@ -7,21 +7,22 @@ longest verbatim match with its location. Positions whose first words begin no
 test suffix can match nothing and never enter the array, so the sort is small.
 Shards are independent: one scan of the documents, no shuffle.
 
-The test set reaches the tasks in blocks of at most ``block_bytes``; beyond one
-block the documents are searched block by block and the matches merged.
+The test set is broadcast up to ``block_bytes`` of text. Beyond that the documents
+are searched for one block after the other, and the matches are merged.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dialwise.llm.common import Shared, id_and_text, map_batches, quoted, query, table
+from dialwise.llm.common import Shared, free_name, id_and_text, map_batches, query, quoted, store, table
 from dialwise.llm.words import ALNUM, Chunk, chunks, ngrams, owners, span_hashes, spans
 
 WINDOW = 13
@@ -148,21 +149,25 @@ def digest(items: list) -> str:
     return hashlib.sha256(",".join(sorted(map(str, set(items)))).encode()).hexdigest()
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list[TestSet]:
-    """The test set in blocks of bounded size. Items over the bound make a block of their own."""
-    items = benchmark.select(F.col(quoted(id_col)).alias("item"), F.col(quoted(text_col)).alias("text"))
+def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[TestSet]:
+    """The test set in blocks of bounded size, one at a time. An item over the bound makes a block of its own."""
+    items = benchmark.select(F.col(quoted(id_col)).alias("item"), F.col(quoted(text_col)).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= block_bytes:
-        return [TestSet([(r["item"], r["text"]) for r in items.collect()], window)]
-    blocks, held, used = [], [], 0
-    for r in items.toLocalIterator():
+    held, used = [], 0
+    for r in items.collect() if size <= block_bytes else items.toLocalIterator():
         n = len((r["text"] or "").encode())
         if held and used + n > block_bytes:
-            blocks.append(TestSet(held, window))
+            yield TestSet(held, window)
             held, used = [], 0
         held.append((r["item"], r["text"]))
         used += n
-    return [*blocks, TestSet(held, window)]
+    yield TestSet(held, window)
+
+
+def one_or_more(blocks: Iterator[TestSet]) -> tuple[TestSet, Iterator[TestSet] | None]:
+    """The only block, or the first and all of them."""
+    first, second = next(blocks), next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -173,20 +178,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     Null or empty texts match nothing; a repeated document is reported as often
     as it occurs; ties (one passage in several items) give one row per item.
     """
-    slim, out = id_and_text(docs, id_col, text_col), None
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    for block in test_blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        shared = Shared(docs.sparkSession, block)
+    slim = id_and_text(docs, id_col, text_col)
+    return block_matches(slim, test_blocks(benchmark, item_col, item_text_col, window, block_bytes),
+                         benchmark.schema[item_col].dataType.simpleString())
+
+
+def block_matches(slim: DataFrame, blocks: Iterator[TestSet], kind: str) -> DataFrame:
+    """The matches of every block, stored before the next block is made."""
+    out = None
+    for block in blocks:
+        shared = Shared(slim.sparkSession, block)
 
         def found(batch: pa.RecordBatch, shared=shared):
             for chunk in chunks(batch.column(1)):
                 f = search(chunk, shared.value)
                 first = f["bounds"][f["doc"]]
                 yield {"doc_id": batch.column(0).slice(chunk.rows.start, len(chunk)).take(pa.array(f["doc"])),
-                       "word": f["word"] - first, "item_id": [shared.value.ids[i] for i in f["item"]],
+                       "word": f["word"] - first, "item_id": [str(i) if kind == "string" else i for i in map(shared.value.ids.__getitem__, f["item"])],
                        "item_word": f["start"], "n_words": f["length"]}
 
-        part = map_batches(slim, found, f"doc_id long, word long, item_id {kind}, item_word long, n_words long")
+        part = store(map_batches(slim, found, f"doc_id long, word long, item_id {kind}, item_word long, n_words long"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -200,65 +211,71 @@ def flag(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     more. Null and empty texts have no words and are clean; an empty test set
     leaves everything clean; repeated rows are judged one by one.
     """
-    blocks = test_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    block, more = one_or_more(test_blocks(benchmark, item_col, item_text_col, window, block_bytes))
     slim = id_and_text(docs, id_col, text_col)
-    if len(blocks) == 1:
-        shared = Shared(docs.sparkSession, blocks[0])
-
-        def judge(batch: pa.RecordBatch):
-            for chunk in chunks(batch.column(1)):
-                yield {"doc_id": batch.column(0).slice(chunk.rows.start, len(chunk)), **verdicts(chunk, shared.value)}
-
-        return map_batches(slim, judge, f"doc_id long, {VERDICT}")
-    return slim.select("doc_id", "text").mapInArrow(over_blocks(docs, blocks), T.StructType.fromDDL(f"doc_id long, {VERDICT}"))
+    if more is not None:
+        numbered = store(slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+        judged = merged(numbered.select(F.col("row").alias("doc_id"), "text"), more)
+        return numbered.select("row", "doc_id").join(judged, "row").drop("row")
+    shared = Shared(docs.sparkSession, block)
+
+    def judge(batch: pa.RecordBatch):
+        for chunk in chunks(batch.column(1)):
+            yield {"doc_id": batch.column(0).slice(chunk.rows.start, len(chunk)), **verdicts(chunk, shared.value)}
+
+    return map_batches(slim, judge, f"doc_id long, {VERDICT}")
+
+
+def merged(rows: DataFrame, blocks: Iterator[TestSet]) -> DataFrame:
+    """``row`` and the columns of ``VERDICT``, from the matches of several blocks. ``rows`` hold a unique number and a text."""
+
+    def count(batch: pa.RecordBatch):
+        for chunk in chunks(batch.column(1)):
+            yield {"row": batch.column(0).slice(chunk.rows.start, len(chunk)), "n_words": np.diff(spans(chunk.lower(), ALNUM)[2])}
+
+    found = block_matches(rows, blocks, "string")
+    told = found.groupBy(F.col("doc_id").alias("row")).agg(
+        F.sort_array(F.collect_set(F.struct("word", (F.col("word") + F.col("n_words")).alias("end")))).alias("spans"),
+        F.sort_array(F.collect_set("item_id")).alias("items"))
+    # words covered by at least one match: spans in order, each from where the former ones end
+    cover = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach")),
+                        lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["word"], s["reach"]), F.lit(0))).alias("n"),
+                                              F.greatest(s["reach"], x["end"]).alias("reach")), lambda s: s["n"])
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return map_batches(rows, count, "row long, n_words long").join(
+        told.select("row", cover.alias("n_hit"), F.size("items").alias("n_items"), F.array_join("items", ",").alias("items")), "row", "left") \
+        .select("row", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+                F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
+                ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def verdicts(chunk: Chunk, *blocks: TestSet) -> dict:
-    """The contract's columns for the texts of one chunk, over one or more test blocks."""
-    items: dict[int, list] = {}
-    parts = []
-    for block in blocks:
-        found = search(chunk, block)
-        parts.append(found)
-        for d, listed in item_lists(found, block.ids).items():
-            items.setdefault(d, []).extend(listed)
-    whole = parts[0] | {k: np.concatenate([p[k] for p in parts]) for k in ("word", "length")}
-    n_words, n_hit = whole["n_words"], covered(whole)
-    none = digest([])
+def verdicts(chunk: Chunk, tests: TestSet) -> dict:
+    """The contract's columns for the texts of one chunk."""
+    found = search(chunk, tests)
+    items, n_words, n_hit, none = item_lists(found, tests.ids), found["n_words"], covered(found), digest([])
     return {"n_words": n_words, "n_hit": n_hit, "n_items": [len(set(items.get(d, ()))) for d in range(len(chunk))],
             "items_sha256": [digest(items[d]) if d in items else none for d in range(len(chunk))],
             "contaminated": (n_hit > 0) & (20 * n_hit >= n_words)}
 
 
-def over_blocks(docs: DataFrame, blocks: list[TestSet]):
-    """Search several broadcast blocks one after the other; each is dropped after use."""
-    shared = [Shared(docs.sparkSession, b) for b in blocks]
-
-    def run(batches):
-        for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                out = verdicts(chunk, *(s.value for s in shared))
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column(0).slice(chunk.rows.start, len(chunk))}
-                    | {k: pa.array(v) for k, v in out.items()})
-
-    return run
-
-
 def remove_affected(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW,
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows; all columns as they were."""
-    blocks = test_blocks(benchmark, "item_id", "text", window, block_bytes)
-    shared = [Shared(docs.sparkSession, b) for b in blocks]
-    place = docs.columns.index(text_col)
+    block, more = one_or_more(test_blocks(benchmark, "item_id", "text", window, block_bytes))
+    if more is not None:
+        row = free_name(docs, "row")
+        numbered = store(docs.withColumn(row, F.monotonically_increasing_id()))
+        judged = merged(numbered.select(F.col(row).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")), more)
+        return numbered.join(judged.where("contaminated").select(F.col("row").alias(row)), row, "left_anti").select(*map(quoted, docs.columns))
+    shared, place = Shared(docs.sparkSession, block), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             for chunk in chunks(batch.column(place)):
-                bad = verdicts(chunk, *(s.value for s in shared))["contaminated"]
+                bad = verdicts(chunk, shared.value)["contaminated"]
                 yield batch.slice(chunk.rows.start, len(chunk)).filter(pa.array(~bad))
 
     return docs.mapInArrow(run, docs.schema)

@@ -105,6 +105,8 @@ def unit_list(text):
     text = text or ""
     found = [m for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(
         "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))]
+    if not found:
+        return []
     gaps = [text[a.end():b.start()] for a, b in zip(found, found[1:])] + ["\n"]
     hashes = []
     for m in found:

@@ -10,8 +10,8 @@
 4. A higher-order ``aggregate`` folds the lattice. For a unigram vocabulary it is
    the Viterbi recursion over end positions. A BPE vocabulary's scores are
    ranks of merges, for which the best sum is not the library's segmentation;
-   there the fold keeps the set of cut points and removes, step by step, the
-   one whose neighbours make the best-ranked piece.
+   there the fold goes through the lattice by rank and keeps the set of cut
+   points, removing those that merges close.
 5. The words' ids are stored as sorted hash arrays and mapped by the workers
    that write out the documents' ids, so texts are never shuffled.
 
@@ -37,15 +37,18 @@ from dialwise.llm.pieces import SPACE, WIDE_CHUNK, Vocabulary, distinct_words, h
 from dialwise.llm.words import chunks
 
 LONGEST = 60
+WORDS_PER_TASK = 20_000
 
 
-def piece_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(piece, id, score)``."""
-    return docs.sparkSession.createDataFrame([(p, i, float(s)) for i, p, s in vocabulary.pieces], "piece string, id int, score double")
+def piece_table(docs: DataFrame, vocabulary: Vocabulary, odd: set[str]) -> DataFrame:
+    """``(piece, id, cost, odd)``."""
+    return docs.sparkSession.createDataFrame([(p, i, -float(s), p in odd) for i, p, s in vocabulary.pieces],
+                                             "piece string, id int, cost double, odd boolean")
 
 
 def edges(words: DataFrame, pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(word_key, i, j, id, score, ids)``: pieces of a word from character ``i`` up to ``j``.
+    """``(word_key, i, j, ends, inner, cost, odd, ids)``: pieces of a word from character ``i`` up to ``j``,
+    which are also given as bits, and the cut points between them.
 
     Single characters always make an edge: their piece, their bytes, or the unknown piece.
     """
@@ -60,21 +63,40 @@ def edges(words: DataFrame, pieces: DataFrame, vocabulary: Vocabulary) -> DataFr
     as_bytes = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1),
                            lambda k: F.conv(F.substring(octets, 2 * k + 1, 2), 16, 10).cast("int") + (vocabulary.bytes_from or 0))
     fallback = as_bytes if vocabulary.bytes_from is not None else F.array(F.lit(vocabulary.unknown))
-    return joined.select("word_key", "i", "j", "score", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"))
+    return joined.select("word_key", "i", "j", cuts(F.col("i"), F.col("j")).alias("ends"), inner(F.col("i"), F.col("j")).alias("inner"),
+                         "cost", "odd", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"))
 
 
-def merge_fold(lattice: Column, n: Column) -> Column:
-    """The set of cut points, as bits, after all merges: best score first, then leftmost."""
-    ranked = F.array_sort(F.transform(lattice, lambda e: F.struct(
-        (-e["score"]).alias("cost"), e["i"].alias("i"), cuts(e["i"], e["j"]).alias("ends"), inner(e["i"], e["j"]).alias("inner"))))
-    ranked = F.filter(ranked, lambda e: e["inner"] != 0)
-    every = bit(n + 1) - 1
+def one_pass(lattice: Column, n: Column) -> Column:
+    """The set of cut points, as bits, after all merges of a lattice in order of rank, then from the left.
+
+    Right wherever every piece of the lattice is ``regular``.
+    """
+    return F.aggregate(lattice, bit(n + 1) - 1, lambda mask, e: F.when(
+        (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1),
+        mask.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(mask))
+
+
+def step_by_step(lattice: Column, n: Column) -> Column:
+    """As ``one_pass``, but looking for the best merge anew after every merge."""
 
     def step(mask: Column, _: Column) -> Column:
-        fits = F.filter(ranked, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
+        fits = F.filter(lattice, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
         return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), mask)
 
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step)).otherwise(every)
+    return F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, step)
+
+
+def irregular(vocabulary: Vocabulary) -> list[str]:
+    """Pieces that merges of better-ranked pieces alone do not bring down to two parts.
+
+    Where a word holds none of them, no merge can open up a better one: a
+    piece's two parts rank better than the piece itself, and merges within its
+    characters are the same in every word. So one pass in order of rank is the
+    whole of the merging.
+    """
+    known = {p: (i, s) for i, p, s in vocabulary.pieces}
+    return [p for _, p, s in vocabulary.pieces if len(p) > 1 and len(merge_word(p, known, better_than=s)) != 2]
 
 
 def cuts(i: Column, j: Column) -> Column:
@@ -91,12 +113,12 @@ def bit(i: Column) -> Column:
 
 def viterbi_fold(lattice: Column, n: Column, unknown: float) -> Column:
     """The best path's cut points, as bits: the state holds the best sum and path of every position so far."""
-    state = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("mask")))
+    state = F.array(F.struct(F.lit(0.0).cast("double").alias("score"), F.lit(1).cast("long").alias("mask")))
 
     def step(best: Column, j: Column) -> Column:
         ending = F.filter(lattice, lambda e: e["j"] == j)
         ways = F.transform(ending, lambda e: F.struct(
-            (F.element_at(best, e["i"] + 1)["score"] + F.coalesce(e["score"], F.lit(unknown))).alias("score"),
+            (F.element_at(best, e["i"] + 1)["score"] + F.coalesce(-e["cost"], F.lit(unknown))).alias("score"),
             F.element_at(best, e["i"] + 1)["mask"].bitwiseOR(bit(j)).alias("mask")))
         return F.concat(best, F.array(F.array_max(ways)))
 
@@ -105,17 +127,19 @@ def viterbi_fold(lattice: Column, n: Column, unknown: float) -> Column:
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary, kind: str = "bpe") -> DataFrame:
     """``(word_key, ids)`` for rows of ``(word_key, word)``; ``kind`` is ``bpe`` or ``unigram``."""
-    pieces = piece_table(words, vocabulary)
+    odd = set(irregular(vocabulary)) if kind == "bpe" else set()
+    pieces = piece_table(words, vocabulary, odd)
     short = words.where(F.char_length("word").between(1, LONGEST)).select("word_key", "word")
-    lattice = edges(short, pieces, vocabulary).groupBy("word_key") \
-        .agg(F.collect_list(F.struct("i", "j", "score", "ids")).alias("lattice"), F.max("j").alias("n"))
+    # ranked by cost, then from the left; the unranked characters come first and cannot merge anything
+    lattice = edges(short, pieces, vocabulary).groupBy("word_key").agg(
+        F.sort_array(F.collect_list(F.struct("cost", "i", "j", "ends", "inner", "ids"))).alias("lattice"),
+        F.max("j").alias("n"), F.coalesce(F.bool_or("odd"), F.lit(False)).alias("odd"))
     if kind == "bpe":
-        mask = merge_fold(F.filter("lattice", lambda e: e["score"].isNotNull()), F.col("n"))
+        mask = F.when(F.col("odd"), step_by_step(F.col("lattice"), F.col("n"))).otherwise(one_pass(F.col("lattice"), F.col("n")))
     else:
         worst = min((s for _, _, s in vocabulary.pieces), default=0.0)
         mask = viterbi_fold(F.col("lattice"), F.col("n"), worst - 10.0)
-    used = lambda e: (F.col("mask").bitwiseAND(cuts(e["i"], e["j"])) == cuts(e["i"], e["j"])) & \
-        (F.col("mask").bitwiseAND(inner(e["i"], e["j"])) == 0)
+    used = lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0)
     path = F.array_sort(F.transform(F.filter("lattice", used), lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids"))))
     folded = lattice.withColumn("mask", mask).select("word_key", F.flatten(F.transform(path, lambda e: e["ids"])).alias("ids"))
     return folded.unionByName(encode_long(words, vocabulary, kind))
@@ -135,15 +159,15 @@ def encode_long(words: DataFrame, vocabulary: Vocabulary, kind: str) -> DataFram
     return map_batches(rest, run, "word_key long, ids array<int>")
 
 
-def merge_word(word: str, known: dict[str, tuple[int, float]]) -> list[str]:
-    """BPE merges of one word, best score first, leftmost on ties."""
+def merge_word(word: str, known: dict[str, tuple[int, float]], better_than: float = -np.inf) -> list[str]:
+    """BPE merges of one word by pieces that score above ``better_than``, best first, leftmost on ties."""
     n = len(word)
     after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list[tuple[float, int, int]] = []
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and (found := known.get(word[i:ends[j]])):
+        if j < n and (found := known.get(word[i:ends[j]])) and found[1] > better_than:
             heapq.heappush(heap, (-found[1], i, ends[j]))
 
     for i in range(n - 1):
@@ -205,7 +229,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         return {"ids": lists.flatten().to_numpy(), "ids-ends": np.cumsum(pc.list_value_length(lists).to_numpy())}
 
     # one exchange spreads the words; lattice and grouping stay in place
-    spread = words.repartition("word_key")
+    spread = words.repartition(max(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1), "word_key")
     held = hasharrays.write(encode_words(spread, vocabulary, kind), "word_key", n_words, shared_path(spark, "pieces"), columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

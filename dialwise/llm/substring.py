@@ -26,6 +26,8 @@ from dialwise.llm.words import ALNUM, Chunk, chunks, mix, odd_numbers, owners, s
 MIN_WORDS = 8
 LONG_UNIT = 32
 CUT_ONE_IN = 12
+#: texts that a worker holds as Python strings at a time
+ROWS = 1000
 _NEWLINE = np.array([b == 10 for b in range(256)])
 _STOP = np.array([chr(b) in ".!?" for b in range(256)])
 _POWER = odd_numbers(1, 21)[0]
@@ -128,17 +130,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     place, n = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
-        for batch in batches:
-            texts, listed = batch.column(place).to_pylist(), batch.column(n)
-            for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)):
-                kept, at = [], 0
-                for cut in listed[i].as_py():
-                    kept.append(texts[i][at:cut["start"]])
-                    at = max(at, cut["end"])
-                texts[i] = "".join([*kept, texts[i][at:]])
-            columns = batch.columns[:n]
-            columns[place] = pa.array(texts, type=columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n])
+        for whole in batches:
+            for first in range(0, len(whole), ROWS):
+                batch = whole.slice(first, ROWS)
+                texts, listed = batch.column(place).to_pylist(), batch.column(n)
+                for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)):
+                    kept, at = [], 0
+                    for cut in listed[i].as_py():
+                        kept.append(texts[i][at:cut["start"]])
+                        at = max(at, cut["end"])
+                    texts[i] = "".join([*kept, texts[i][at:]])
+                columns = batch.columns[:n]
+                columns[place] = pa.array(texts, type=columns[place].type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n])
 
     return wide.mapInArrow(run, T.StructType(list(docs.schema.fields)))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 1 << 19
+SHARD_ROWS = 1 << 18
 
 
 def local_path(uri: str) -> str | None:

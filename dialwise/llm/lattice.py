@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialwise.llm import hasharrays
-from dialwise.llm.common import Shared, id_and_text, map_batches, query, shared_path, store, table
+from dialwise.llm.common import Shared, batches_of, id_and_text, map_batches, query, shared_path, store, table
 from dialwise.llm.pieces import SPACE, WIDE_CHUNK, Vocabulary, distinct_words, hashes, model_path
 from dialwise.llm.words import chunks
 
 LONGEST = 60
 WORDS_PER_TASK = 20_000
+#: rows per Arrow batch where texts are read, to bound a worker's memory
+TEXTS = 1000
 
 
 def piece_table(docs: DataFrame, vocabulary: Vocabulary, odd: set[str]) -> DataFrame:
@@ -220,7 +222,8 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(path)
     borders = Shared(spark, vocabulary.borders())
-    words = store(distinct_words(docs, borders, text_col).select("word_key", "word"))
+    with batches_of(spark, TEXTS):
+        words = store(distinct_words(docs, borders, text_col).select("word_key", "word"))
     n_words = words.count()
 
     def columns(t: pa.Table) -> dict[str, np.ndarray]:
@@ -234,7 +237,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1), WIDE_CHUNK // 2):
+            for chunk in chunks(batch.column(1), WIDE_CHUNK):
                 chars, starts, ends, bounds = borders.value.cut(chunk)
                 found, which = np.unique(hashes(chars, starts, ends), return_inverse=True)
                 number = held.find(found)

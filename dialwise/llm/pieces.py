@@ -21,9 +21,9 @@ from dialwise.llm.common import quoted
 from dialwise.llm.words import Chunk, chunks, span_hashes
 
 SPACE = 0x2581
-WIDE_CHUNK = 2 << 20
+WIDE_CHUNK = 1 << 20
 #: distinct pre-tokens that a task holds before it passes them on
-HELD = 1 << 19
+HELD = 1 << 18
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

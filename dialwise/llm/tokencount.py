@@ -20,12 +20,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialwise.llm.common import Shared, id_and_text, map_batches, query, store, table
+from dialwise.llm.common import Shared, batches_of, id_and_text, map_batches, query, store, table
 from dialwise.llm.pieces import SPACE, WIDE_CHUNK, Vocabulary, distinct_words, hashes, model_path
 from dialwise.llm.words import chunks, owners
 
 HOT = 1 << 19
 LIMIT = 4096
+#: rows per Arrow batch while the vocabulary is counted, to bound a worker's memory
+TEXTS = 1000
 
 
 def counted(words: DataFrame, path: str) -> DataFrame:
@@ -66,7 +68,8 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     borders = Shared(spark, Vocabulary.load(path).borders())
     slim = id_and_text(docs, id_col, text_col)
-    counts = store(counted(distinct_words(slim, borders), path))
+    with batches_of(spark, TEXTS):
+        counts = store(counted(distinct_words(slim, borders), path))
     floor = frequency_floor(counts, hot)
     top = counts.where(F.col("n") >= floor).select("word_key", "n_pieces").toPandas()
     order = np.argsort(top["word_key"].to_numpy().astype(np.uint64))

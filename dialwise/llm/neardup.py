@@ -212,7 +212,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         roots = connect(nodes, slim)
     members = nodes.select("node", "doc_id").join(roots, "node", "left") \
         .select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that the join deals both sides anew and a large component can be split
+    least = store(members.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     named = members.join(least, "root").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return sketched.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")) \

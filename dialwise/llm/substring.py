@@ -6,6 +6,13 @@ shorter sentences join the next one of their line. Units of more than
 depend on nearby text only, so a passage has the same inner units wherever in a
 line it stands. Units are compared as lower-case words without punctuation.
 
+A line or rest of a line under ``MIN_WORDS`` words is no unit by itself. It is
+one together with the whole lines or sentences after it that it needs to reach
+``MIN_WORDS``, and another with those before it. So a repeated passage set in
+short lines goes whole, wherever it begins; a short line between others that do
+not repeat stays. Such units overlap; each removed word has an earlier copy
+that stays.
+
 Digests of units with ``MIN_WORDS`` words or more are counted over the whole
 table with partial aggregates; only rows of 20 to 40 bytes are shuffled. The
 occurrence that ranks first by document id and place stays. Others are removed
@@ -36,7 +43,7 @@ _POWER = odd_numbers(1, 21)[0]
 def units(chunk: Chunk) -> dict:
     """Units of the texts of a chunk: ``doc, digest, n_words, start, end``, offsets in characters of the text.
 
-    A unit reaches to the start of the next one, or to the end of the text.
+    A unit reaches to the start of the next word after it, or to the end of the text. Units may overlap.
     """
     low = chunk.lower()
     starts, ends, bounds = spans(low, ALNUM)
@@ -60,9 +67,12 @@ def units(chunk: Chunk) -> dict:
     end = line_end | (stop & (size >= MIN_WORDS))
     number = np.concatenate([[0], np.cumsum(end[:-1])])
     long_unit = np.bincount(number)[number] > LONG_UNIT
+    part_to = np.flatnonzero(end) + 1
+    part_at = np.concatenate([[0], part_to[:-1]])
     end |= long_unit & (mix(words) % np.uint64(CUT_ONE_IN) == 0)
     to = np.flatnonzero(end) + 1
     at = np.concatenate([[0], to[:-1]])
+    at, to = distinct_spans([(at, to), *with_neighbours(part_at, part_to, doc)], n)
     # order-dependent hash of a unit's words, by running sums as for bytes
     power = np.full(n + 1, _POWER)
     power[0] = 1
@@ -75,12 +85,27 @@ def units(chunk: Chunk) -> dict:
     # characters before a byte: those that are no continuation bytes
     chars = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
     owner = doc[at]
-    begin = starts[at]
-    after = np.append(begin[1:], 0)
-    closing = np.append(owner[1:] != owner[:-1], True)
-    after[closing] = chunk.offsets[owner[closing] + 1]
+    after = np.where(to == bounds[owner + 1], chunk.offsets[owner + 1], np.append(starts, 0)[to])
     base = chars[chunk.offsets[owner]]
-    return {"doc": owner, "digest": digest, "n_words": to - at, "start": chars[begin] - base, "end": chars[after] - base}
+    return {"doc": owner, "digest": digest, "n_words": to - at, "start": chars[starts[at]] - base, "end": chars[after] - base}
+
+
+def with_neighbours(at: np.ndarray, to: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spans of words that join every part under ``MIN_WORDS`` words to as many whole parts after it, and before it, as it needs."""
+    short = to - at < MIN_WORDS
+    first, last = at[short], to[short]
+    j = np.searchsorted(to, first + MIN_WORDS)
+    inside = j < len(to)
+    ahead = first[inside], to[j[inside]]
+    k = np.searchsorted(at, last - MIN_WORDS, "right") - 1
+    inside = k >= 0
+    behind = at[k[inside]], last[inside]
+    return [(a[same], b[same]) for a, b in (ahead, behind) for same in [doc[a] == doc[b - 1]]]
+
+
+def distinct_spans(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    key = np.unique(np.concatenate([a * (n + 1) + b for a, b in found]))
+    return key // (n + 1), key % (n + 1)
 
 
 def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

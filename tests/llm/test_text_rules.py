@@ -177,3 +177,13 @@ def test_passage_inside_lines_goes_from_all_but_one(spark):
     assert got[0] == rows[0][1]
     for i in range(1, 5):
         assert len(got[i].split()) < 45 and f"start{i}" in got[i] and f"more{i}" in got[i]
+
+
+def test_passage_in_short_lines_goes_from_all_but_one(spark):
+    verse = "\n".join(" ".join(f"v{6 * k + j}" for j in range(6)) for k in range(10))
+    mixed = "\n".join(" ".join(f"m{k}x{j}" for j in range(9 if k % 2 else 4)) for k in range(10))
+    rows = [(i, f"Top {i}\nown{i} words\n{verse}\nbetween{i}\n{mixed}\nlast{i} line{i}") for i in range(4)]
+    got = {r.doc_id: r.text for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 4):
+        assert got[i] == f"Top {i}\nown{i} words\nbetween{i}\nlast{i} line{i}"

@@ -2,9 +2,12 @@
 
 A unit is a line, cut after every sentence of ``MIN_WORDS`` words or more;
 shorter sentences join the next one of their line. Units of more than
-``LONG_UNIT`` words are cut at words that their own hash picks. All borders
-depend on nearby text only, so a passage has the same inner units wherever in a
-line it stands. Units are compared as lower-case words without punctuation.
+``LONG_UNIT`` words are units as a whole, so that exact copies go whole, and are
+cut at words that their own hash picks. Every window of ``WINDOW`` words inside
+them is a unit too, unless it is one word repeated: a passage of that length or
+more goes to its last word. All borders depend on nearby text only, so a passage
+has the same inner units wherever in a line it stands. Units are compared as
+lower-case words without punctuation.
 
 A line or rest of a line under ``MIN_WORDS`` words is no unit by itself. It is
 one together with the whole lines or sentences after it that it needs to reach
@@ -33,6 +36,8 @@ from dialwise.llm.words import ALNUM, Chunk, chunks, mix, odd_numbers, owners, s
 MIN_WORDS = 8
 LONG_UNIT = 32
 CUT_ONE_IN = 12
+#: words of a window inside long units
+WINDOW = 16
 #: texts that a worker holds as Python strings at a time
 ROWS = 1000
 _NEWLINE = np.array([b == 10 for b in range(256)])
@@ -72,7 +77,6 @@ def units(chunk: Chunk) -> dict:
     end |= long_unit & (mix(words) % np.uint64(CUT_ONE_IN) == 0)
     to = np.flatnonzero(end) + 1
     at = np.concatenate([[0], to[:-1]])
-    at, to = distinct_spans([(at, to), *with_neighbours(part_at, part_to, doc)], n)
     # order-dependent hash of a unit's words, by running sums as for bytes
     power = np.full(n + 1, _POWER)
     power[0] = 1
@@ -81,7 +85,17 @@ def units(chunk: Chunk) -> dict:
     inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
-    digest = mix((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64))
+
+    def digests(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return mix((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64))
+
+    whole = long_unit[part_at]
+    found = [(at, to), (part_at[whole], part_to[whole]), *with_neighbours(part_at, part_to, doc)]
+    if n >= WINDOW:
+        first = window_starts(digests(np.arange(n - WINDOW + 1), np.arange(WINDOW, n + 1)), long_unit, number)
+        found.append((first, first + WINDOW))
+    at, to = distinct_spans(found, n)
+    digest = digests(at, to)
     # characters before a byte: those that are no continuation bytes
     chars = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
     owner = doc[at]
@@ -103,6 +117,13 @@ def with_neighbours(at: np.ndarray, to: np.ndarray, doc: np.ndarray) -> list[tup
     return [(a[same], b[same]) for a, b in (ahead, behind) for same in [doc[a] == doc[b - 1]]]
 
 
+def window_starts(grams: np.ndarray, long_unit: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Words at which a window of ``WINDOW`` words of one long unit begins that differs from the windows next to it."""
+    inside = long_unit[:len(grams)] & (number[:len(grams)] == number[WINDOW - 1:])
+    same = grams[1:] == grams[:-1]
+    return np.flatnonzero(inside & ~np.append(same, False) & ~np.append(False, same))
+
+
 def distinct_spans(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.unique(np.concatenate([a * (n + 1) + b for a, b in found]))
     return key // (n + 1), key % (n + 1)
@@ -133,10 +154,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     all_units = unit_table(docs, id_col, text_col)
     # stored, so that the join deals both sides anew and a hot digest can be split
-    groups = store(all_units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-                   .where("n > 1").select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")))
+    groups = store(all_units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct("doc_id", "start", "end")).alias("first")).where("n > 1")
+                   .select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), F.col("first.end").alias("kept_end")))
+    # a unit that overlaps its kept occurrence stays as well, or it would cut into that
     return all_units.join(groups, "digest") \
-        .where("NOT (doc_id <=> kept_doc_id AND start = kept_start)") \
+        .where("NOT (doc_id <=> kept_doc_id AND start >= kept_start AND start < kept_end)") \
         .select("doc_id", "text_key", "start", "end", "n_words", "kept_doc_id", "kept_start")
 
 

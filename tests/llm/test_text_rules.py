@@ -187,3 +187,21 @@ def test_passage_in_short_lines_goes_from_all_but_one(spark):
     assert got[0] == rows[0][1]
     for i in range(1, 4):
         assert got[i] == f"Top {i}\nown{i} words\nbetween{i}\nlast{i} line{i}"
+
+
+def test_long_lines_and_passages_inside_them_go_whole(spark):
+    run = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    schema, kinds = "doc_id long, text string", range(40)
+    texts = [(run(f"line{k}q", 40), run(f"passage{k}q", 51)) for k in kinds]
+    rows = [(100 * k + i, f"{line}\n{run(f'a{k}x{i}y', 20)} {passage} {run(f'b{k}x{i}y', 20)}.")
+            for k, (line, passage) in enumerate(texts) for i in range(3)]
+    got = {r.doc_id: r.text for r in substring.remove_repeats(spark.createDataFrame(rows, schema)).collect()}
+    for k in kinds:
+        assert got[100 * k] == rows[3 * k][1]
+        for i in (1, 2):
+            assert got[100 * k + i] == f"{run(f'a{k}x{i}y', 20)} {run(f'b{k}x{i}y', 20)}."
+
+
+def test_text_that_repeats_itself_keeps_a_whole_window(spark):
+    docs = spark.createDataFrame([(1, "left right " * 40)], "doc_id long, text string")
+    assert substring.remove_repeats(docs).first().text == "left right " * (substring.WINDOW // 2)

@@ -18,7 +18,7 @@ that stays.
 
 Digests of units with ``MIN_WORDS`` words or more are counted over the whole
 table with partial aggregates; only rows of 20 to 40 bytes are shuffled. The
-occurrence that ranks first by document id and place stays. Others are removed
+occurrence that ranks first by document id, text (by its hash) and place stays. Others are removed
 from the text, and reported with their offsets in the original, in characters.
 """
 
@@ -154,11 +154,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     all_units = unit_table(docs, id_col, text_col)
     # stored, so that the join deals both sides anew and a hot digest can be split
-    groups = store(all_units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct("doc_id", "start", "end")).alias("first")).where("n > 1")
-                   .select("digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), F.col("first.end").alias("kept_end")))
+    groups = store(all_units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "end")).alias("first")).where("n > 1")
+                   .select("digest", *[F.col(f"first.{c}").alias(f"kept_{c}") for c in ("doc_id", "text_key", "start", "end")]))
     # a unit that overlaps its kept occurrence stays as well, or it would cut into that
     return all_units.join(groups, "digest") \
-        .where("NOT (doc_id <=> kept_doc_id AND start >= kept_start AND start < kept_end)") \
+        .where("NOT (doc_id <=> kept_doc_id AND text_key <=> kept_text_key AND start >= kept_start AND start < kept_end)") \
         .select("doc_id", "text_key", "start", "end", "n_words", "kept_doc_id", "kept_start")
 
 

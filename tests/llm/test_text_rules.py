@@ -205,3 +205,9 @@ def test_long_lines_and_passages_inside_them_go_whole(spark):
 def test_text_that_repeats_itself_keeps_a_whole_window(spark):
     docs = spark.createDataFrame([(1, "left right " * 40)], "doc_id long, text string")
     assert substring.remove_repeats(docs).first().text == "left right " * (substring.WINDOW // 2)
+
+
+def test_one_occurrence_stays_where_texts_share_an_id(spark):
+    rows = [(i, f"{SENTENCE}Own words number {k} stand here.") for i in (None, 5) for k in range(3)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got if SENTENCE in r.text] == [None] and len(got) == 6

@@ -4,7 +4,8 @@ A text is searched as its lower-case words. Every rule is a regular expression
 over a run of words and begins with two literal words, its keyword. A prefilter
 on the raw text finds the texts that hold any keyword at all; in these, each
 place where a keyword stands is joined to the rules that begin with it, and a
-rule is tried on the ``REACH`` words from there on. So the work follows the
+rule is tried on the ``REACH`` words from there on, as many as the longest rule
+has. The SQL twin tries 16 words and so misses longer wordings. So the work follows the
 number of keyword places, and no text is multiplied by rules.
 
 Detections are resolved per text in one ordered pass: by start, longest first,
@@ -26,7 +27,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 ANY_CASE_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-REACH = 16
 
 #: phrase and label of the base detections
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -128,6 +128,16 @@ def rules() -> Iterator[tuple[int, str, str, int, float, bool]]:
         yield rule(label, phrase, 1, 0.5)
 
 
+def most_words(regex: str) -> int:
+    """Words of the longest run that a rule matches."""
+    longest = lambda group: max(group[1].split("|"), key=lambda words: words.count(" "))
+    return 1 + re.sub(r"\(\?:([^()]*)\)", longest, regex).count(" ")
+
+
+#: words of the run that a rule is tried on
+REACH = max(most_words(r[2]) for r in rules())
+
+
 def keyed_rules() -> list[tuple]:
     """Rules with their keyword, the first two words, which must be literal."""
     out = []
@@ -214,7 +224,7 @@ docs AS (
 places AS (
   SELECT rid, unnest(generate_series(1, len(w) - 1)) AS i,
     unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS keyword,
-    unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i + {REACH - 1}], ' '))) AS run
+    unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i + 15], ' '))) AS run
   FROM docs WHERE len(w) > 1),
 tried AS (SELECT p.rid, p.i, r.*, trim(regexp_extract(p.run, r.regex)) AS found FROM places p JOIN rules r USING (keyword)),
 found AS (SELECT rid, rule, label, priority, weight, base, i - 1 AS s, len(string_split(found, ' ')) AS n FROM tried WHERE found <> ''),

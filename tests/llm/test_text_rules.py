@@ -211,3 +211,16 @@ def test_one_occurrence_stays_where_texts_share_an_id(spark):
     rows = [(i, f"{SENTENCE}Own words number {k} stand here.") for i in (None, 5) for k in range(3)]
     got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.doc_id for r in got if SENTENCE in r.text] == [None] and len(got) == 6
+
+
+def test_full_gnu_notices_reach_the_longest_rules(spark):
+    told = "This program is free software; you can redistribute it and/or modify it under the terms of the {} as published by\n" \
+        "the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    names = [("GNU General Public License", "2", "gpl-2.0"), ("GNU General Public License", "3", "gpl-3.0"),
+             ("GNU Lesser General Public License", "2.1", "lgpl-2.1"), ("GNU Library General Public License", "2", "lgpl-2.0"),
+             ("GNU Affero General Public License", "3", "agpl-3.0")]
+    rows = [(k, told.format(name, version)) for k, (name, version, _) in enumerate(names)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, _, label) in enumerate(names):
+        assert f"{label}-or-later" in got[k].labels.split(",") and label not in got[k].labels.split(",") and got[k].score == 0.99
+        assert got[k].labels == resolved(rows[k][1])

@@ -19,9 +19,21 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def small(df: DataFrame, limit: int = CLASSES) -> DataFrame | None:
+    """The table broadcast, or nothing if it has more rows than ``limit``."""
+    rows = df.limit(limit + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else None
+
+
 def few(df: DataFrame, limit: int = CLASSES) -> DataFrame:
     """A table of classes, checked to be small and then broadcast."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    found = small(df, limit)
+    if found is None:
         raise ValueError(f"more than {limit} classes")
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return found
+
+
+def few_or_many(df: DataFrame, limit: int = CLASSES) -> DataFrame:
+    """A table of groups, broadcast if it is checked to be small."""
+    found = small(df, limit)
+    return df if found is None else found

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialwise.operators.joins import few, match
+from dialwise.operators.joins import few_or_many, match
 from dialwise.operators.quantiles import exact_quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -148,7 +148,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, strategy: str = "a
     # values are counted first, so the join sees distinct values, not rows
     values = df.where(x.isNotNull()).groupBy(*keys, x.alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
     if by:
-        placed = match(values, few(fences), keys)
+        placed = match(values, few_or_many(fences), keys)
     else:
         one = fences.select(F.struct("*")).scalar()
         placed = values.withColumn("__f", one).select("__x", "__n", "__f.*")
@@ -180,7 +180,7 @@ def density(df: DataFrame, col: str, by: str, bin_width: float = 1.0, points: in
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     x = F.col("__lo") + F.col("point") * (F.col("__hi") - F.col("__lo")) / float(points - 1)
     z = (F.col("x") - F.col("__b")) / F.col("__h")
-    return (match(binned, few(stats), [by]).select("*", grid.alias("point")).withColumn("x", x)
+    return (match(binned, few_or_many(stats), [by]).select("*", grid.alias("point")).withColumn("x", x)
                   .groupBy(by, "point", "x", "__n", "__h")
                   .agg(F.sum(F.col("__c") * F.exp(-z * z / 2)).alias("__k"))
                   .select(by, "point", "x",

@@ -78,3 +78,10 @@ print('done', len(names))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert "done" in done.stdout, done.stderr[-2000:]
+
+
+def test_many_groups_are_joined_instead_of_refused(spark):
+    n = joins.CLASSES + 1
+    df = spark.range(2 * n).selectExpr(f"id % {n} AS g", "CAST(id AS double) AS v")
+    assert profile.box_stats(df, "v", "g").count() == n
+    assert profile.density(df, "v", "g", points=2).select("g").distinct().count() == n

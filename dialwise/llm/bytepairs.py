@@ -16,8 +16,6 @@ from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 from dialwise.llm.hasharrays import ranges
 from dialwise.llm.pieces import hashes, words_of
@@ -176,11 +174,3 @@ def without(chunk: Chunk, rows: np.ndarray) -> Chunk:
         return chunk
     sizes = np.diff(chunk.offsets) * ~rows
     return Chunk(chunk.data[ranges(chunk.offsets[:-1], sizes)], np.concatenate([[0], np.cumsum(sizes)]), chunk.rows)
-
-
-def as_binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """One binary value of raw little-endian ids for each text."""
-    raw = np.ascontiguousarray(flat)
-    at = pa.array((offsets * raw.itemsize).astype(np.int64), pa.int64())
-    long = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, at.buffers()[1], pa.py_buffer(raw)])
-    return pc.cast(long, pa.binary())

@@ -11,10 +11,10 @@ A folder holds, for every part ``p`` (ranges of ids in ascending order):
 and ``index.json`` with the parts' sizes. A part's base, the number of ids
 before it, is a prefix sum over these, so no file is written twice.
 
-Texts are encoded where they are read. The ids, a fraction of the texts, are
-stored and sorted into ranges of (document id, hash of the text), so an id that
-very many rows share is split. Files get their name by an atomic rename and
-their content from a total order: a task that runs twice leaves the same files.
+Texts are sorted into ranges of (document id, hash of the text), so an id that
+very many rows share is split, and a task encodes and writes its range at one go.
+Files get their name by an atomic rename and their content from a total order: a
+task that runs twice leaves the same files.
 Readers map the files; a folder that is not mounted is read through Arrow.
 """
 
@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialwise.llm.bytepairs import as_binary, encoder
-from dialwise.llm.common import batches_of, id_and_text, map_batches, query, shared_path, store, table
+from dialwise.llm.bytepairs import encoder
+from dialwise.llm.common import batches_of, id_and_text, query, shared_path, table
 from dialwise.llm.hasharrays import local_path
 from dialwise.llm.words import chunks
 
@@ -158,31 +158,17 @@ def checksum(ids: np.ndarray) -> int:
     return crc
 
 
-def encoded(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, ids`` of every row, the ids as raw little-endian bytes."""
-
-    def run(batch: pa.RecordBatch):
-        for chunk in chunks(batch.column(1)):
-            part = lambda c: batch.column(c).slice(chunk.rows.start, len(chunk))
-            yield {"doc_id": part(0), "text_key": part(2), "ids": as_binary(*encoder(path).encode(chunk, end_id))}
-
-    keyed = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    return map_batches(keyed, run, "doc_id long, text_key long, ids binary")
-
-
 def write(docs: DataFrame, path: str, uri: str, *, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text",
           part_bytes: int = PART_BYTES) -> TokenFiles:
-    """Encode all texts and write them in ascending order of id, null ids first.
+    """Encode all texts and write them in ascending order of id, null ids first, ``part_bytes`` of text to a part.
 
     Null and empty texts have no ids but ``end_id``. Rows that share an id follow
     by a hash of their text, and equal rows are written as often as they occur.
     An empty table gives an index without parts.
     """
-    spark = docs.sparkSession
-    with batches_of(spark, TEXTS):
-        rows = store(encoded(docs, path, end_id, id_col, text_col))
-    n, size = rows.agg(F.count("text_key"), F.sum(F.octet_length("ids"))).first()
-    kind = encoder(path).kind
+    spark, kind = docs.sparkSession, encoder(path).kind
+    slim = id_and_text(docs, id_col, text_col)
+    n, size = slim.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     if not n:
         none = np.zeros(0, np.int64)
         return TokenFiles(uri, kind.str, none, none, none).save()
@@ -191,24 +177,23 @@ def write(docs: DataFrame, path: str, uri: str, *, end_id: int | None = END_ID,
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, n, nulls, total = TaskContext.get().partitionId(), 0, 0, 0
         with ExitStack() as stack:
-            files = [stack.enter_context(written(uri, f"{name}-{p}.bin")) for name in ("docs", "offsets", "ids")]
-            files[1].write(np.zeros(1, "<u8").tobytes())
+            docs, offsets, ids = (stack.enter_context(written(uri, f"{name}-{p}.bin")) for name in ("docs", "offsets", "ids"))
+            offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
-                column = batch.column(2).cast(pa.large_binary())
-                _, where, data = column.buffers()
-                at = np.frombuffer(where, np.int64)[column.offset:column.offset + len(column) + 1]
-                ends = total + (at[1:] - at[0]) // kind.itemsize
-                files[0].write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                files[1].write(ends.astype("<u8").tobytes())
-                if data is not None:
-                    files[2].write(data[int(at[0]):int(at[-1])])
-                n, nulls, total = n + len(batch), nulls + batch.column(0).null_count, int(ends[-1]) if len(ends) else total
+                docs.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                n, nulls = n + len(batch), nulls + batch.column(0).null_count
+                for chunk in chunks(batch.column(1)):
+                    flat, at = encoder(path).encode(chunk, end_id)
+                    offsets.write((total + at[1:]).astype("<u8").tobytes())
+                    ids.write(flat.tobytes())
+                    total += len(flat)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (p, n, nulls, total)], ["part", "documents", "nulls", "ids"])
 
-    dealt = rows.repartitionByRange(parts, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "ids")
+    dealt = slim.withColumn("text_key", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "text_key") \
+        .sortWithinPartitions("doc_id", "text_key", "text").select("doc_id", "text")
     with batches_of(spark, TEXTS):
-        # one row a part, so a few numbers for every 64 MB of ids
-        found = dealt.mapInArrow(save, "part long, documents long, nulls long, ids long").toPandas().sort_values("part")
+        # one row a part, so a few numbers for every 64 MB of text
+        found = dealt.mapInArrow(save, "part long, documents long, nulls long, ids long").toPandas()
     index = np.zeros((3, int(found["part"].max()) + 1), np.int64)
     index[:, found["part"]] = found[["documents", "nulls", "ids"]].to_numpy().T
     return TokenFiles(uri, kind.str, *index).save()

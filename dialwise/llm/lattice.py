@@ -22,7 +22,7 @@ the fold's 64-bit set of cut points and are merged by a heap in a small helper.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,8 +217,11 @@ def ids_of(pieces: list[str], known: dict[str, tuple[int, float]], vocabulary: V
     return out
 
 
-def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe") -> DataFrame:
-    """``doc_id, ids`` of every row. Null and empty texts have no ids; repeated rows are encoded alike."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoding(docs: DataFrame, path: str, text_col: str = "text", kind: str = "bpe") -> Callable[[Batches], Batches]:
+    """Encodes the words of a table once; gives what turns batches of (id, text) into batches of ``doc_id, ids``."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(path)
     borders = Shared(spark, vocabulary.borders())
@@ -235,7 +238,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     spread = words.repartition(max(spark.sparkContext.defaultParallelism, n_words // WORDS_PER_TASK + 1), "word_key")
     held = hasharrays.write(encode_words(spread, vocabulary, kind), "word_key", n_words, shared_path(spark, "pieces"), columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for chunk in chunks(batch.column(1), WIDE_CHUNK):
                 chars, starts, ends, bounds = borders.value.cut(chunk)
@@ -251,14 +254,11 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                     [batch.column(0).slice(chunk.rows.start, len(chunk)), pa.ListArray.from_arrays(pa.array(total), pa.array(ids))],
                     ["doc_id", "ids"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, T.StructType.fromDDL("doc_id long, ids array<int>"))
-
+    return run
 
-def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """Adds the text of the ids: pieces and bytes in order, spaces restored, the leading one dropped.
 
-    Null ids give null; no ids give the empty text.
-    """
+def decoding(path: str, at: int, text_col: str = "text") -> Callable[[Batches], Batches]:
+    """What adds the text of the ids in column ``at`` to batches."""
     vocabulary = Vocabulary.load(path)
     table = {i: p.replace(chr(SPACE), " ").encode() for i, p, _ in vocabulary.pieces}
     if vocabulary.bytes_from is not None:
@@ -267,10 +267,8 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str
     size = np.array([len(b) for b in table.values()])
     place[list(table)] = np.stack([np.cumsum(size) - size, size], 1)
     raw = np.frombuffer(blob, np.uint8)
-    at = encoded.columns.index(ids_col)
-    kind = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             texts = []
             for ids in batch.column(at):
@@ -282,10 +280,31 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str
                 texts.append(text[1:] if text.startswith(" ") else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return encoded.mapInArrow(run, kind)
+    return run
+
+
+def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe") -> DataFrame:
+    """``doc_id, ids`` of every row. Null and empty texts have no ids; repeated rows are encoded alike."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(encoding(docs, path, text_col, kind), T.StructType.fromDDL("doc_id long, ids array<int>"))
+
+
+def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """Adds the text of the ids: pieces and bytes in order, spaces restored, the leading one dropped.
+
+    Null ids give null; no ids give the empty text.
+    """
+    kind = T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())])
+    return encoded.mapInArrow(decoding(path, encoded.columns.index(ids_col), text_col), kind)
+
+
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", kind: str = "bpe") -> DataFrame:
+    """``doc_id, ids, text``: encoded and decoded in one pass, so that a task has one worker and passes small batches on."""
+    there, back = encoding(docs, path, text_col, kind), decoding(path, 1)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: back(there(batches)),
+                                                          T.StructType.fromDDL("doc_id long, ids array<int>, text string"))
 
 
 @query("op9_sentencepiece")
 def op9(spark, sf_dir):
-    encoded = encode(table(spark, sf_dir, "documents"), model_path())
-    return decode(encoded, model_path()).select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("text", 256).alias("text_sha256"))
+    return round_trip(table(spark, sf_dir, "documents"), model_path()) \
+        .select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("text", 256).alias("text_sha256"))

@@ -36,7 +36,9 @@ def test_ids_equal_the_library_and_decode_back(spark, library):
         got = lattice.decode(lattice.encode(docs, model_path()), model_path()).collect()
         assert sorted(repr((r.doc_id, r.ids, r.text)) for r in got) \
             == sorted(repr((i, library.encode(t or ""), library.decode(library.encode(t or "")))) for i, t in rows)
-    assert lattice.encode(nothing(spark), model_path()).isEmpty()
+        both = lattice.round_trip(docs, model_path()).collect()
+        assert sorted(map(repr, map(tuple, both))) == sorted(map(repr, map(tuple, got)))
+    assert lattice.encode(nothing(spark), model_path()).isEmpty() and lattice.round_trip(nothing(spark), model_path()).isEmpty()
 
 
 def test_round_trip_is_exact(spark):

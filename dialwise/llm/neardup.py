@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.llm.common import batches_of, free_name, id_and_text, map_batches, query, quoted, store, table
-from dialwise.llm.components import components
+from dialwise.llm.components import components, merged
 from dialwise.llm.words import SPACED, Chunk, chunks, mix, ngrams, odd_numbers, span_hashes, spans
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ HOPELESS = 34.0
 #: pairs per open band row up to which they are listed without another round of stars
 LIST_PAIRS = 4
 #: rounds of comparisons with chosen members
-STARS = 2
+STARS = 1
 #: members of a bucket that meet in one group of ``every_pair``
 BLOCK = 512
 #: rows per Arrow batch, so that two workers of an executor stay within a few hundred MB
@@ -231,20 +231,22 @@ def connect(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = store(sketches.select("node", "doc_id", "text_key").join(docs, ["doc_id", "text_key"])
                   .dropDuplicates(["node"]).select("node", "text"))
     pairs = rows.where("node != chosen").select(F.least("chosen", "node").alias("a"), F.greatest("chosen", "node").alias("b"))
-    tested, stars = None, 1
+    tested, roots, stars = None, None, 1
     while True:
         ranked = store(likely(untested(pairs, tested), sketches))
         # each node's most promising partner decides; the others follow if they still matter
         best = ranked.groupBy("a").agg(F.max_by("b", F.struct("guess", "b")).alias("b")).unionByName(
             ranked.groupBy("b").agg(F.max_by("a", F.struct("guess", "a")).alias("a"))).distinct()
-        tested, roots = confirm(best, tested, texts)
+        found = store(verified(best, texts))
+        links = found.where("linked").select("a", "b")
+        roots = store(components(links)) if roots is None else merged(roots, links)
         open_rows = store(still_open(rows, roots))
         n_rows, n_pairs = open_size(open_rows)
         if not n_rows:
             return roots
         if stars == STARS or n_pairs <= LIST_PAIRS * n_rows:
-            links = every_pair(open_rows, texts, sketches)
-            return store(components(tested.where("linked").select("a", "b").unionByName(links)))
+            return merged(roots, store(every_pair(open_rows, texts, sketches)))
+        tested = found if tested is None else tested.unionByName(found)
         pairs, stars = star_pairs(open_rows), stars + 1
 
 
@@ -253,13 +255,6 @@ def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def confirm(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs tested so far, and the components of the links among them."""
-    found = verified(pairs, texts)
-    tested = store(found if tested is None else tested.unionByName(found))
-    return tested, store(components(tested.where("linked").select("a", "b")))
-
-
 def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``(key, node, root)`` of the buckets that hold several components."""
     labelled = rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))

@@ -7,6 +7,7 @@ from dialwise.catalog.base import query
 from dialwise.catalog.profile import each, rounded
 
 from dialwise.operators import encode, groups, selection
+from dialwise.operators.information import neighbour_information
 from dialwise.plans.bayes import fit_gaussian_bayes
 from dialwise.plans.baselines import class_proportional, majority_class, soft_vote
 from dialwise.scale import materialise
@@ -186,3 +187,28 @@ def l17(spark, sf):
         "topk": top("combined"), "threshold": ranked.where("combined >= 0.2"),
         "information": top("mutual_information")})
     return rounded(out, "combined")
+
+
+def digamma_sql(n):
+    x = f"({n} + 6)::DOUBLE"
+    series = f"ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} * {x}) + 1 / (120 * pow({x}, 4)) - 1 / (252 * pow({x}, 6))"
+    return f"({series} - " + " - ".join(f"1 / ({n} + {i})::DOUBLE" for i in range(6)) + ")"
+
+
+#: by comparing all pairs of distinct values
+NEIGHBOUR_SQL = ", long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, y, {c}::DOUBLE AS v FROM leads" for c in CONTINUOUS) + f"""),
+  counted AS (SELECT feature, y, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature, y) AS n_class FROM long GROUP BY feature, y, v),
+  pairs AS (SELECT a.feature, a.y, a.v, a.n, a.n_class, abs(b.v - a.v) AS far, least(3, a.n_class - 1) AS k,
+      sum(b.n - (b.v = a.v)::INTEGER) OVER (PARTITION BY a.feature, a.y, a.v ORDER BY abs(b.v - a.v)) AS upto
+    FROM counted a JOIN counted b ON a.feature = b.feature AND a.y = b.y WHERE a.n_class > 1),
+  reached AS (SELECT feature, y, v, n, n_class, k, min(far) AS r FROM pairs WHERE upto >= k GROUP BY ALL),
+  met AS (SELECT a.*, sum(b.n) AS m FROM reached a JOIN counted b ON a.feature = b.feature AND b.n_class > 1
+    AND ((a.r = 0 AND b.v = a.v) OR (a.r > 0 AND b.v < a.v + a.r AND b.v > a.v - a.r)) GROUP BY ALL)
+  SELECT feature, round(greatest({digamma_sql('sum(n)')} + sum(n * ({digamma_sql('k')} - {digamma_sql('n_class')} - {digamma_sql('m')})) / sum(n), 0), 8)
+    AS mutual_information FROM met GROUP BY feature"""
+
+
+@query("l13_mutual_information_neighbours", lead_sql=NEIGHBOUR_SQL)
+def l13_neighbours(spark, sf):
+    leads = build_leads(spark, sf, [*CONTINUOUS, "y"])
+    return rounded(neighbour_information(leads, CONTINUOUS), "mutual_information", digits=8)

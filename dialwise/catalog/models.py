@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from dialwise.catalog.base import query
 from dialwise.functions import features as fx
-from dialwise.operators import groups, schedule
+from dialwise.operators import groups, ranking, schedule
 from dialwise.operators.sampling import stratified_split
 from dialwise.plans import experiments as ex
+from dialwise.plans import staged
 from dialwise.plans import twostage as ts
 from dialwise.plans.models import GRIDS, Fitted, design_matrix, fit
 from dialwise.scale import materialise, remove_at_exit, shared_dir
@@ -75,6 +76,37 @@ def l10_bayes(spark, sf):
     return ex.grid_search(frame, "naive_bayes", GRIDS["naive_bayes"], features)
 
 
+#: labelled rows that a grid's models are fitted on, at most; all held-out rows are scored
+GRID_LABELLED = 1000
+
+
+def full_grid(learner, labelled=GRID_LABELLED):
+    """All settings of a learner's grid, five folds."""
+    def run(spark, sf):
+        frame, features = coded(spark, sf, k=5)
+        return staged.staged_grid(frame, learner, ex.grid(GRIDS[learner]), features, max_labelled=labelled)
+    return run
+
+
+query("l10_grid_search_decision_tree")(full_grid("decision_tree"))
+
+
+def holdout_by_size(learner, params, sizes):
+    """AUC on the held-out 20 % after each number of trees, from one fit."""
+    def run(spark, sf):
+        frame, features = design_matrix(build_leads(spark, sf, INPUTS), style="label")
+        split = materialise(stratified_split(frame, "y", "lead_id", 0.2))
+        model = staged.fit_staged(split.where("is_test = 0"), learner, features, params={**params, "n_estimators": max(sizes)})
+        scored = materialise(staged.by_size(model, split.where("is_test = 1"), sizes, ["lead_id", "y"]).withColumn("prob", F.round("prob", staged.TIE_DIGITS)))
+        facts = scored.groupBy("size").agg(F.count("y").alias("n"), F.sum("y").alias("positives"))
+        return facts.join(ranking.auc(scored, "prob", "y", ["size"]), "size")
+    return run
+
+
+query("l02_forest_by_size")(holdout_by_size("random_forest", FULL_FOREST, [10, 25, 50, 100]))
+query("l05_boosting_by_rounds")(holdout_by_size("boosting", BOOST, [5, 10, 20, 30]))
+
+
 @query("l11_random_search")
 def l11(spark, sf):
     frame, features = coded(spark, sf)

@@ -11,7 +11,8 @@ from dialwise.operators.sampling import stratified_split
 from dialwise.plans import experiments as ex
 from dialwise.plans import staged
 from dialwise.plans import twostage as ts
-from dialwise.plans.models import GRIDS, Fitted, design_matrix, fit
+from dialwise.plans.models import GRIDS, design_matrix, fit
+from dialwise.plans.pipelines import fit_pipeline
 from dialwise.scale import materialise, remove_at_exit, shared_dir
 from dialwise.sources import delimited, sinks
 from dialwise.sources.leads import FEATURES, build_leads
@@ -188,25 +189,34 @@ def fresh(spark, name):
     return path
 
 
-def saved_logit(spark, sf, root):
-    frame, features = design_matrix(build_leads(spark, sf, INPUTS), style="label")
-    path = sinks.pipeline_path(root, "outcome", features)
-    make = lambda: fit(frame, "logistic_regression", features, params=LOGIT).pipeline
-    return frame, features, sinks.load_or_fit(path, make), sinks.load_or_fit(path, make)
+def saved(spark, leads, learner, params, style, derived=()):
+    """The pipeline as fitted and as a later run finds it in the shared folder."""
+    path = sinks.pipeline_path(fresh(spark, "models"), f"outcome, {learner}, {style}", [*FEATURES, *derived])
+    make = lambda: fit_pipeline(leads, learner, params, style, derived)
+    return sinks.load_or_fit(path, make), sinks.load_or_fit(path, make)
+
+
+def in_batches(model, leads):
+    """Scores of two batches, each without a level that the model was fitted with."""
+    batches = [leads.where("contact = 'cellular'"), leads.where("contact <> 'cellular'")]
+    first, second = [model.transform(b.drop("y")).select("lead_id", "prob") for b in batches]
+    return first.unionByName(second)
 
 
 @query("l22_batch_scoring")
 def l22(spark, sf):
-    frame, features, _, loaded = saved_logit(spark, sf, fresh(spark, "models"))
-    return Fitted(loaded, features).transform(frame).select("lead_id", "prob")
+    leads = materialise(build_leads(spark, sf, INPUTS))
+    _, loaded = saved(spark, leads, "logistic_regression", LOGIT, "onehot", ["previous_success", "financial_stress"])
+    return in_batches(loaded, leads)
 
 
 @query("s06_save_and_load_pipeline", lead_sql="SELECT count(*) AS n, count(*) AS equal FROM leads")
 def s06(spark, sf):
-    frame, features, made, loaded = saved_logit(spark, sf, fresh(spark, "models"))
-    score = lambda m, out: Fitted(m, features).transform(frame, out).select("lead_id", out)
-    both = score(made, "first").join(score(loaded, "again"), "lead_id")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == F.col("again")).alias("equal"))
+    leads = materialise(build_leads(spark, sf, INPUTS))
+    made, loaded = saved(spark, leads, "logistic_regression", LOGIT, "onehot")
+    whole = made.transform(leads).select("lead_id", F.col("prob").alias("whole"))
+    both = whole.join(in_batches(loaded, leads), "lead_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("whole") == F.col("prob")).alias("equal"))
 
 
 @query("s01_read_delimited", lead_sql="""
@@ -244,10 +254,10 @@ def s03(spark, sf):
 def s04(spark, sf):
     path = fresh(spark, "report")
     leads = build_leads(spark, sf, ["job", "contact"])
-    for section, col in (("jobs", "job"), ("contacts", "contact")):
+    for section, col in [("jobs", "job"), ("contacts", "contact")] * 2:  # a repeated run
         sinks.append_log(leads.groupBy(F.col(col).alias("key")).agg(F.count(F.lit(1)).alias("value"))
                               .withColumns({"run_id": F.lit("r1"), "section": F.lit(section)}), path)
-    return spark.read.schema(sinks.LOG_SCHEMA).parquet(path)
+    return sinks.read_log(spark, path)
 
 
 @query("s05_read_result", lead_sql="""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ def contact_intensity() -> Column:
 
 
 def financial_stress() -> Column:
-    return sum((flag(F.col(c) == "yes") for c in ("loan", "default")), flag(F.col("housing") == "yes"))
+    return reduce(add, [flag(F.col(c) == "yes") for c in ("housing", "loan", "default")])
 
 
 def previous_success() -> Column:

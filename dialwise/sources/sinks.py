@@ -37,9 +37,18 @@ def write_params(df: DataFrame, key: str, path: str, params: str = "params") ->
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Append ``run_id, section, key, value`` rows to the run report."""
-    df.select(*[F.col(c).cast("string").alias(c) for c in ("run_id", "section", "key", "value")]) \
-      .write.mode("append").parquet(path)
+    """Add ``run_id, section, key, value`` rows to the run report.
+
+    A section of a run is a partition of its own and is written as a whole, so
+    a repeated run leaves one copy and other runs and sections stay.
+    """
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in ("run_id", "section", "key", "value")])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run_id", "section").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).parquet(path).select("run_id", "section", "key", "value")
 
 
 def pipeline_path(root: str, description: str, features: Sequence[str]) -> str:
@@ -49,11 +58,15 @@ def pipeline_path(root: str, description: str, features: Sequence[str]) -> str:
 
 
 def load_or_fit(path: str, make: Callable[[], PipelineModel]) -> PipelineModel:
-    """The saved pipeline, or a new one that is saved for the next call."""
+    """The saved pipeline, or a new one that is saved for the next call.
+
+    A mark is written after all stages, so a save that was cut short is made anew.
+    """
     spark = SparkSession.active()
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/complete/_SUCCESS")
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return PipelineModel.load(path)
     model = make()
     model.write().overwrite().save(path)
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/complete")
     return model

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialwise.operators.comoments import pair_moments
 from dialwise.operators.profile import describe_numeric, rows_from
 from dialwise.operators.joins import match
 from dialwise.operators.quantiles import exact_quantiles
@@ -53,17 +53,18 @@ def pearson(a: str, b: str) -> Column:
 
 
 def correlations(df: DataFrame, cols: Sequence[str], min_abs: float | None = None) -> DataFrame:
-    """Pearson matrix in long form; with ``min_abs`` only the strong pairs, each once."""
-    pairs = list(combinations(cols, 2))
-    aggs = [pearson(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    own = [pearson(a, a).alias(f"{a}|{a}") for a in cols]
-    wide = df.agg(*aggs, *([] if min_abs is not None else own))
-    cell = lambda a, b, source: F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"),
-                                         F.col(f"`{source}`").alias("r"))
+    """Pearson matrix in long form; with ``min_abs`` only the strong pairs, each once.
+
+    Over rows where both columns are known; null when either is constant there.
+    """
+    names = F.array(*[F.lit(c) for c in cols])
+    r = F.try_divide("cov", F.sqrt("var_i") * F.sqrt("var_j"))
+    made = pair_moments(df, cols).select(names[F.col("i")].alias("f1"), names[F.col("j")].alias("f2"), r.alias("r"), "i", "j")
+    apart = made.where("i <> j")
     if min_abs is not None:
-        return rows_from(wide, [], [cell(a, b, f"{a}|{b}") for a, b in pairs]).where(F.abs("r") > min_abs)
-    both = [cell(x, y, f"{a}|{b}") for a, b in pairs for x, y in ((a, b), (b, a))]
-    return rows_from(wide, [], both + [cell(a, a, f"{a}|{a}") for a in cols])
+        return apart.where(F.abs("r") > min_abs).select("f1", "f2", "r")
+    mirrored = apart.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "r")
+    return made.select("f1", "f2", "r").unionByName(mirrored)
 
 
 def target_correlations(df: DataFrame, cols: Sequence[str], label: str = "y") -> DataFrame:

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from dialwise.catalog.base import query
 from dialwise.catalog.models import in_batches, saved
 from dialwise.catalog.profile import rounded
+from dialwise.catalog.ranking import TRIALS, spent_sql
 from dialwise.operators import groups
 from dialwise.operators.sampling import stratified_split
 from dialwise.plans import experiments as ex
 from dialwise.plans import foldstats as fs
+from dialwise.plans import twostage as ts
 from dialwise.plans.models import GRIDS, design_matrix
 from dialwise.scale import materialise
 from dialwise.sources.leads import CATEGORICAL, FEATURES, NUMERIC, build_leads
@@ -130,3 +132,56 @@ def l22_bayes(spark, sf):
     leads = materialise(build_leads(spark, sf, [*FEATURES, "y"]))
     _, loaded = saved(spark, leads, "naive_bayes", {"var_smoothing": 1e-5}, "label")
     return rounded(rounded(in_batches(loaded, leads), "prob", digits=DIGITS), "prob")
+
+
+#: shares that agree to so many digits are ties of a schedule, in either engine
+SCHEDULE_DIGITS = 6
+
+
+def oof_sql(name, rows, label):
+    """CTEs up to ``name`` (lead_id, prob): out-of-fold naive Bayes over the features of ``rows``."""
+    return f""", {name}_long AS (UNPIVOT {rows} ON COLUMNS(* EXCLUDE (lead_id, y, duration, duration_class, fold)) INTO NAME f VALUE x),
+      {name}_stat AS (SELECT held, f, {label} AS c, avg(x) AS m, var_pop(x) AS v FROM {name}_long JOIN held ON fold <> held GROUP BY ALL),
+      {name}_every AS (SELECT held, f, var_pop(x) AS v FROM {name}_long JOIN held ON fold <> held GROUP BY ALL),
+      {name}_prior AS (SELECT held, ln(avg(1 - {label})) - ln(avg({label})) AS p FROM {rows} JOIN held ON fold <> held GROUP BY held),
+      {name}_model AS (SELECT held, f, n.m AS m0, n.v + 1e-9::DOUBLE * e.v AS v0, p.m AS m1, p.v + 1e-9::DOUBLE * e.v AS v1
+        FROM {name}_every e JOIN {name}_stat n USING (held, f) JOIN {name}_stat p USING (held, f) WHERE n.c = 0 AND p.c = 1),
+      {name}_gap AS (SELECT held, lead_id, sum(0.5 * (ln(v1) - ln(v0)) - pow(x - m0, 2) / (2 * v0) + pow(x - m1, 2) / (2 * v1)) AS g
+        FROM {name}_model JOIN {name}_long USING (f) WHERE fold = held GROUP BY ALL),
+      {name} AS (SELECT lead_id, round(1 / (1 + exp(least(greatest(g + p, -700), 700))), {SCHEDULE_DIGITS}) AS prob
+        FROM {name}_gap JOIN {name}_prior USING (held))"""
+
+
+def two_stage_sql(perfect):
+    codes = ", ".join([f'"{c}"::DOUBLE AS "{c}"' for c in NUMERIC] + [f'(dense_rank() OVER (ORDER BY "{c}") - 1)::DOUBLE AS "{c}"' for c in CATEGORICAL])
+    length = "" if perfect else oof_sql("length", "dealt", "duration_class")
+    source, long = ("dealt", "duration_class") if perfect else ("dealt JOIN length USING (lead_id)", "prob")
+    extra = "" if perfect else " EXCLUDE (prob)"
+    return f""", coded AS (SELECT lead_id, y, duration, (duration > 180)::INTEGER AS duration_class, {codes} FROM leads),
+      dealt AS (SELECT *, {folds_sql(5)} AS fold FROM coded), held AS (SELECT DISTINCT fold AS held FROM dealt){length},
+      enhanced AS (SELECT *{extra}, (1 - {long})::DOUBLE AS prob_short, {long}::DOUBLE AS prob_long FROM {source})
+      {oof_sql("paired", "enhanced", "y")} {oof_sql("alone", "dealt", "y")},
+      eff AS (SELECT lead_id, y, duration, alone.prob AS standard,
+        round(paired.prob / (prob_short * 101.3::DOUBLE + prob_long * 417.0::DOUBLE), {SCHEDULE_DIGITS + 6}) AS efficiency
+        FROM enhanced JOIN paired USING (lead_id) JOIN alone USING (lead_id))
+      {TRIALS}, r AS (
+      SELECT 'efficiency' AS strategy, count(*)::DOUBLE AS calls, sum(y)::DOUBLE AS sales FROM ({spent_sql('eff', 'efficiency DESC')}) WHERE spent <= 28800
+      UNION ALL SELECT 'probability', count(*)::DOUBLE, sum(y)::DOUBLE FROM ({spent_sql('eff', 'standard DESC')}) WHERE spent <= 28800
+      UNION ALL SELECT 'random', avg(calls), avg(sales) FROM trials),
+      b AS (SELECT calls AS bc, sales AS bs FROM r WHERE strategy = 'probability')
+      SELECT strategy, calls, sales, round(calls - bc, 6) AS calls_diff, round(sales - bs, 6) AS sales_diff,
+        round((sales - bs) / bs * 100, 6) AS sales_pct FROM r, b"""
+
+
+def two_stage_bayes(perfect):
+    """Both stages with naive Bayes on label codes, five folds."""
+    def run(spark, sf):
+        leads = build_leads(spark, sf, [*FEATURES, "y", "duration"])
+        table, _ = ts.two_stage(leads, folds=5, learner="naive_bayes", strategy="none", perfect_lengths=perfect,
+                                style="label", derived=(), digits=SCHEDULE_DIGITS)
+        return rounded(table, "calls_diff", "sales_diff", "sales_pct")
+    return run
+
+
+query("l19_two_stage_naive_bayes", lead_sql=two_stage_sql(False))(two_stage_bayes(False))
+query("l20_perfect_information_naive_bayes", lead_sql=two_stage_sql(True))(two_stage_bayes(True))

@@ -13,6 +13,7 @@ from dialwise.plans import staged
 from dialwise.plans import twostage as ts
 from dialwise.plans.models import GRIDS, design_matrix, fit
 from dialwise.plans.pipelines import fit_pipeline
+from dialwise.plans.search import resumable_search
 from dialwise.scale import materialise, remove_at_exit, shared_dir
 from dialwise.sources import delimited, sinks
 from dialwise.sources.leads import FEATURES, build_leads
@@ -115,6 +116,16 @@ def l11(spark, sf):
     return ex.random_search(frame, "boosting", features, trials=3, space=space)
 
 
+@query("l11_resumable_search")
+def l11_resumable(spark, sf):
+    """Twenty settings over five folds; the second call finds every fit of the first."""
+    frame, features = coded(spark, sf, k=5)
+    path = fresh(spark, "trials")
+    search = lambda: resumable_search(frame, "naive_bayes", features, path, space={"var_smoothing": (1e-9, 1.0)})
+    search()
+    return search()
+
+
 @query("l12_importances")
 def l12(spark, sf):
     frame, features = design_matrix(build_leads(spark, sf, INPUTS), style="label")

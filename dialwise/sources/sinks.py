@@ -57,14 +57,18 @@ def pipeline_path(root: str, description: str, features: Sequence[str]) -> str:
     return f"{root.rstrip('/')}/{digest}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def load_or_fit(path: str, make: Callable[[], PipelineModel]) -> PipelineModel:
     """The saved pipeline, or a new one that is saved for the next call.
 
     A mark is written after all stages, so a save that was cut short is made anew.
     """
     spark = SparkSession.active()
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/complete/_SUCCESS")
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if exists(spark, f"{path}/complete/_SUCCESS"):
         return PipelineModel.load(path)
     model = make()
     model.write().overwrite().save(path)

@@ -118,6 +118,9 @@ def mean_std_text(mean, std) -> Column:
     return F.format_string("%.4f ± %.4f", _c(mean), _c(std))
 
 
+# Limits and names of the verdicts below.
+
+
 def five_way_verdict(diff) -> Column:
     d = _c(diff)
     return (F.when(F.abs(d) < 0.001, "NEGLIGIBLE").when(d > 0.003, "STRONG POSITIVE")

@@ -3,13 +3,17 @@
 1. Equal points are collapsed: no point needs more than the first ``k + 1``
    ids of any copy group, and a member of a larger group has only copies as
    neighbours.
-2. A median tree over a bounded sample cuts space into leaves of about
-   ``leaf_rows``; each leaf's bounding box is an aggregate.
-3. Within its own leaf a point finds an upper bound for its k-th distance, and
-   is then sent only to leaves whose box lies within that bound.
+2. Space is cut in levels. A cell of more than two leaves' rows is split into up
+   to ``fan`` cells by a median tree over a sample of its own points; the first
+   level's tree is a closure, those below meet their points by cell. Levels go on
+   until every cell is a leaf, so the number of leaves has no limit.
+3. Within its own leaf a point finds an upper bound for its k-th distance. It
+   then looks from its leaf upwards: at each level only at cells whose box lies
+   within the bound, nearest first, and the bound shrinks with every wave.
 4. The lists found are merged per point.
 
-The bound is never guessed, so the result equals the all-pairs answer.
+The bound is never guessed, so the result equals the all-pairs answer. The
+driver holds one tree and the boxes of one level, at most ``fan`` of them.
 """
 
 from __future__ import annotations
@@ -25,52 +29,98 @@ from pyspark.sql import Window as W
 
 from dialwise.scale import materialise
 
-LEAF_ROWS = 1_000
-WHOLE_ROWS = 20_000
-MAX_LEAVES = 20_000
-CHUNK_ROWS = 20_000
+LEAF_ROWS = 4_000
+FAN = 256
+SAMPLE_PER_CELL = 40
+CHUNK_ROWS = 2_000  # queries that one task holds beside a leaf
+MOVED_ROWS = 50_000  # points that one group of a split holds
+TASKS = 20_000
+WAVE = 4
+ROOT = 1
+#: boxes are tried with a little more than the bound, since sums are rounded
+SLACK = 1e-9
+
+POINT = "id bigint, v array<double>, copy int, cell bigint"
+TREE = "tree_cell bigint, dim array<int>, cut array<double>, left array<int>, right array<int>, leaf array<int>"
+STEP = "id bigint, v array<double>, reach double, skip bigint, cell bigint, gap double, leaf boolean"
 
 
 def nearest_neighbours(df: DataFrame, id: str, features: Sequence[str], k: int = 5,
-                       leaf_rows: int = LEAF_ROWS, whole_rows: int = WHOLE_ROWS) -> DataFrame:
+                       leaf_rows: int = LEAF_ROWS, fan: int = FAN) -> DataFrame:
     """``id, rank, neighbour, distance, vector`` for ranks 1..k, ties by neighbour id.
 
     Members of a group of more than ``k`` equal points are left out: all their
     neighbours are copies of themselves. ``vector`` is the neighbour's position.
-    Up to ``whole_rows`` points are compared as a whole, in blocks of queries.
     """
     points = df.select(F.col(id).cast("bigint").alias("id"),
                        F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
     copy = F.row_number().over(W.partitionBy("v").orderBy("id"))
     points = materialise(points.withColumn("copy", copy).where(F.col("copy") <= k + 1))
-    rows = points.count()
-    if rows <= whole_rows:
-        parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // 500)))
-        every = points.withColumn("leaf", F.lit(0))
-        queries = every.withColumns({"reach": F.lit(float("inf")),
-                                     "part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")})
-        hosts = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        near = _visits(queries, hosts, parts, k)
-    else:
-        near = _search(points, _build_tree(points, rows, leaf_rows), k)
-    order = W.partitionBy("id").orderBy("distance", "neighbour")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    placed, depth = partition(points, leaf_rows, fan)
+    near = _search(placed, depth, len(features), k, fan)
     # a full set of copies ahead of everything else means the point's group is larger than k
     crowded = points.where(F.col("copy") == k + 1).select("v")
     members = points.join(crowded, "v", "left_semi").select("id")
-    return (ranked.join(members, "id", "left_anti")
-                  .select(F.col("id").alias(id), "rank", "neighbour", "distance", "vector"))
+    return (near.join(members, "id", "left_anti")
+                .select(F.col("id").alias(id), "rank", "neighbour", "distance", "vector"))
 
 
-def _search(points, tree, k):
-    placed = materialise(points.mapInPandas(lambda batches: _assign(batches, tree),
-                                            "id bigint, v array<double>, copy int, leaf int"))
-    # a stated number of partitions keeps small leaves on many cores
-    near = placed.repartition(tree.leaves, "leaf").groupBy("leaf").applyInPandas(
-        lambda pdf: _within_leaf(pdf, k), "id bigint, v array<double>, neighbour bigint, distance double, "
-                                          "vector array<double>, leaf int")
-    near = materialise(near)
-    return near.select("id", "neighbour", "distance", "vector").unionByName(_other_leaves(placed, near, tree, k))
+def partition(points: DataFrame, leaf_rows: int, fan: int) -> tuple[DataFrame, int]:
+    """``id, v, copy`` with its ``cell``, and the number of levels.
+
+    The children of a cell are ``cell * fan`` and those after it, so a cell of
+    level n lies between ``fan ** n`` and twice that.
+    """
+    placed, level = points.withColumn("cell", F.lit(ROOT).cast("bigint")), 0
+    while True:
+        sizes = placed.where(F.col("cell") >= fan ** level).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        wide = materialise(sizes.where(F.col("n") > 2 * leaf_rows))
+        if wide.isEmpty():
+            return placed, level
+        chance = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        sample = placed.join(wide, "cell").where(chance * F.col("n") < fan * SAMPLE_PER_CELL)
+        trees = sample.groupBy("cell").applyInPandas(lambda pdf: _grown(pdf, leaf_rows, fan), TREE)
+        placed = materialise(_moved(placed, wide, trees, level, fan))
+        level += 1
+
+
+def _grown(pdf, leaf_rows, fan):
+    tree = _Tree([], [], [], [], [])
+    _grow(tree, np.stack(pdf["v"].to_numpy()), int(min(fan, -(-pdf["n"].iloc[0] // leaf_rows))))
+    whole = pd.DataFrame({"tree_cell": [pdf["cell"].iloc[0]], "dim": [tree.dim], "cut": [tree.cut],
+                          "left": [tree.left], "right": [tree.right], "leaf": [tree.leaf]})
+    return whole if tree.leaves > 1 else whole.iloc[:0]
+
+
+def _moved(placed, wide, trees, level, fan):
+    """Points of the cells to split, in their new cells, and all others as they were."""
+    if level == 0:
+        top = trees.first()
+        if top is None:
+            return placed
+        tree = _Tree(*[list(top[c]) for c in ("dim", "cut", "left", "right", "leaf")])
+
+        def split(batches):
+            for pdf in _assign(batches, tree):
+                yield pdf.assign(cell=pdf["cell"] * fan + pdf["leaf"]).drop(columns="leaf")
+
+        return placed.mapInPandas(split, POINT)
+    parts = wide.select("cell", F.ceil(F.col("n") / MOVED_ROWS).cast("int").alias("parts"))
+    inside = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    spread = trees.join(parts.withColumnRenamed("cell", "tree_cell"), "tree_cell") \
+                  .withColumn("tree_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    split = inside.groupBy("cell", "part").cogroup(spread.groupBy("tree_cell", "tree_part")).applyInPandas(
+        lambda pdf, tree: _split(pdf, tree, fan), POINT)
+    return split.unionByName(placed.join(wide, "cell", "left_anti"))
+
+
+def _split(pdf, trees, fan):
+    rows = pdf[["id", "v", "copy", "cell"]]
+    if not len(trees) or not len(rows):
+        return rows
+    tree = _Tree(*[list(trees[c].iloc[0]) for c in ("dim", "cut", "left", "right", "leaf")])
+    found = next(_assign([rows], tree))
+    return found.assign(cell=found["cell"] * fan + found["leaf"]).drop(columns="leaf")
 
 
 @dataclass
@@ -88,18 +138,6 @@ class _Tree:
         return sum(d < 0 for d in self.dim)
 
 
-def _build_tree(points: DataFrame, rows: int, leaf_rows: int) -> _Tree:
-    leaves = int(min(MAX_LEAVES, -(-rows // leaf_rows)))
-    tree = _Tree([], [], [], [], [])
-    if leaves <= 1:
-        _grow(tree, np.zeros((0, 1)), 1)
-        return tree
-    every = max(1, rows // max(20_000, 20 * leaves))
-    sample = points.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("v").toPandas()
-    _grow(tree, np.stack(sample["v"].to_numpy()), leaves)
-    return tree
-
-
 def _grow(tree: _Tree, sample: np.ndarray, leaves: int) -> int:
     node = len(tree.dim)
     for column in (tree.dim, tree.cut, tree.left, tree.right, tree.leaf):
@@ -175,91 +213,143 @@ def _closest(queries, q_ids, points, p_ids, k, reach=None):
 
 def _listing(x, q_ids, points, p_ids, k, reach=None):
     q, p, d2 = _closest(x, q_ids, points, p_ids, k, reach)
-    return q, pd.DataFrame({"id": q_ids[q], "neighbour": p_ids[p], "distance": d2, "vector": list(points[p])})
+    return pd.DataFrame({"id": q_ids[q], "neighbour": p_ids[p], "distance": d2,
+                         "vector": pd.Series(list(points[p]), dtype=object)})
 
 
-def _within_leaf(pdf, k):
-    x, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
-    q, found = _listing(x, ids, x, ids, k)
-    found["v"] = list(x[q])
-    found["leaf"] = int(pdf["leaf"].iloc[0])
-    return found[["id", "v", "neighbour", "distance", "vector", "leaf"]]
+def _search(placed, depth, dims, k, fan):
+    """``id, rank, neighbour, distance, vector`` of the k nearest."""
+    own = placed.select("id", "v", F.lit(float("inf")).alias("reach"), "cell")
+    near = _nearest(_visits(own, placed, k), k)
+    if not depth:
+        return near
+    near, nodes = materialise(near), materialise(_nodes(placed, depth, dims, fan))
+    for level in reversed(range(depth)):
+        near = _look_round(placed, near, nodes, level, depth, k, fan)
+    return near
 
 
-def _other_leaves(placed, near, tree, k):
-    dims = F.posexplode("v").alias("d", "x")
-    spans = placed.select("leaf", dims).groupBy("leaf", "d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    # bounded by MAX_LEAVES times the number of features
-    box = spans.toPandas().sort_values(["leaf", "d"])
-    width = int(box["d"].max()) + 1
-    leaf_ids = box["leaf"].to_numpy()[::width]
-    lo, hi = (box[c].to_numpy().reshape(-1, width) for c in ("lo", "hi"))
-    low, high = _node_boxes(tree, dict(zip(leaf_ids, range(len(leaf_ids)))), lo, hi)
+def _nearest(near, k):
+    order = W.partitionBy("id").orderBy("distance", "neighbour")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    found = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-    reach = F.when(F.col("n") >= k, F.col("kth")).otherwise(float("inf"))
-    queries = placed.join(found, "id", "left").select("id", "v", "leaf", F.coalesce(reach, F.lit(float("inf"))).alias("reach"))
-    sent = queries.mapInPandas(lambda batches: _route(batches, tree, low, high),
-                               "id bigint, v array<double>, reach double, leaf int")
-    sent = materialise(sent)
-    # a leaf with many visitors is split over several tasks; its own rows are few
-    load = sent.groupBy("leaf").agg(F.count(F.lit(1)).alias("visits"))
-    parts = F.ceil(F.col("visits") / CHUNK_ROWS).cast("int")
-    load = F.broadcast(load.select("leaf", parts.alias("parts")))
-    sent = sent.join(load, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    hosts = placed.join(load, "leaf").select(
-        "leaf", "id", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return _visits(sent, hosts, min(2 * tree.leaves, MAX_LEAVES), k)
-
-
-def _visits(queries, hosts, partitions, k):
-    """The k nearest hosts of each query within its leaf and part."""
-    queries = queries.select("id", "v", "reach", "leaf", "part").repartition(partitions, "leaf", "part")
-    # columns of its own: both sides may come from one table, and a cogroup must not mix them up
-    hosts = hosts.select(F.col("id").alias("host"), F.col("v").alias("host_v"), F.col("leaf").alias("host_leaf"),
-                         F.col("part").alias("host_part")).repartition(partitions, "host_leaf", "host_part")
-    return queries.groupBy("leaf", "part").cogroup(hosts.groupBy("host_leaf", "host_part")).applyInPandas(
-        lambda q, p: _visit(q, p, k), "id bigint, neighbour bigint, distance double, vector array<double>")
 
+def _reach(near, k):
+    found = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
+    return found.where(F.col("n") >= k).select("id", F.col("kth").alias("reach"))
+
+
+def _within(rows, near, k):
+    """``rows`` with the present bound of their id; unbounded where fewer than k are known."""
+    return rows.join(_reach(near, k), "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+
+
+def _nodes(placed, depth, dims, fan):
+    """Boxes of all cells below the root: ``parent, node, lo, hi, is_leaf``."""
+    def box(least, most):
+        return [F.array(*[f(F.col(c)[i]) for i in range(dims)]).alias(name)
+                for f, c, name in ((F.min, least, "lo"), (F.max, most, "hi"))]
+
+    leaves = placed.groupBy("cell").agg(*box("v", "v"))
+    powers = ", ".join(f"{fan ** j}L" for j in range(depth))
+    cells = F.expr(f"filter(transform(array({powers}), p -> cell div p), c -> c > {ROOT})")
+    below = leaves.select("cell", "lo", "hi", F.explode(cells).alias("node"))
+    nodes = below.groupBy("node").agg(*box("lo", "hi"), F.max(F.col("cell") == F.col("node")).alias("is_leaf"))
+    return nodes.withColumn("parent", F.expr(f"node div {fan}"))
+
+
+def _look_round(placed, near, nodes, level, depth, k, fan):
+    """Lists after a look at everything under a point's cell of ``level`` that it has not seen yet."""
+    deeper = placed.where(F.col("cell") >= fan ** (level + 1))
+    start = F.coalesce(*[F.when(F.col("cell") < fan ** (m + 1), F.expr(f"cell div {fan ** (m - level)}"))
+                         for m in range(level + 1, depth + 1)])
+    skip = F.coalesce(*[F.when(F.col("cell") < fan ** (m + 1), F.expr(f"cell div {fan ** (m - level - 1)}"))
+                        for m in range(level + 1, depth + 1)])
+    front = _within(deeper.select("id", "v", start.alias("cell"), skip.alias("skip")), near, k)
+    listed = []
+    for step in range(level, depth):
+        front = materialise(_step(front, nodes, top=step == 0))
+        listed.append(front.where("leaf").select("id", "cell", "gap"))
+        front = front.where("not leaf")
+    seen = listed[0]
+    for more in listed[1:]:
+        seen = seen.unionByName(more)
+    turn = F.row_number().over(W.partitionBy("id").orderBy("gap", "cell"))
+    seen = materialise(seen.withColumn("turn", turn))
+    last, done, upto = seen.agg(F.max("turn")).first()[0] or 0, 0, WAVE
+    while done < last:
+        wave = _within(seen.where((F.col("turn") > done) & (F.col("turn") <= upto)), near, k)
+        wave = wave.where(F.col("gap") <= F.col("reach")).select("id", "cell", "reach")
+        sent = materialise(wave.join(placed.select("id", "v"), "id"))
+        fresh = _visits(sent, placed, k)
+        near = materialise(_nearest(near.drop("rank").unionByName(fresh), k))
+        done, upto = upto, upto * 8
+    return near
+
+
+def _step(front, nodes, top):
+    """From cells to those of their children that lie within a point's bound."""
+    if top:
+        boxes = nodes.where(F.col("parent") == ROOT).toPandas()
+
+        def down(batches):
+            for pdf in batches:
+                yield _children(pdf, boxes)
+
+        return front.select("id", "v", "reach", "skip", "cell").mapInPandas(down, STEP)
+    front, parts, tasks = _chunked(front, MOVED_ROWS)
+    boxes = nodes.join(parts.withColumnRenamed("cell", "parent"), "parent") \
+                 .withColumn("box_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return front.repartition(tasks, "cell", "part").groupBy("cell", "part").cogroup(
+        boxes.repartition(tasks, "parent", "box_part").groupBy("parent", "box_part")).applyInPandas(_children, STEP)
+
+
+def _children(pdf, boxes):
+    found = []
+    if len(pdf):
+        x, reach, skip = np.stack(pdf["v"].to_numpy()), pdf["reach"].to_numpy(), pdf["skip"].to_numpy()
+        for node, lo, hi, leaf in zip(boxes["node"], boxes["lo"], boxes["hi"], boxes["is_leaf"]):
+            outside = np.maximum(0, np.maximum(np.asarray(lo) - x, x - np.asarray(hi)))
+            gap = (outside ** 2).sum(axis=1) * (1 - SLACK)
+            rows = np.flatnonzero((gap <= reach) & (skip != node))
+            if len(rows):
+                found.append(pdf.iloc[rows][["id", "v", "reach", "skip"]]
+                             .assign(cell=np.int64(node), gap=gap[rows], leaf=bool(leaf)))
+    if found:
+        return pd.concat(found)
+    return pd.DataFrame({c: [] for c in ("id", "v", "reach", "skip", "cell", "gap", "leaf")}, dtype=object)
+
+
+def _chunked(rows, size):
+    """``rows`` with a ``part`` of at most about ``size`` rows within their cell, the parts of
+    each cell, and how many tasks to use."""
+    count = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    count = materialise(count)
+    total = count.agg(F.sum("parts")).first()[0] or 1
+    rows = rows.join(count, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    # a stated number of partitions keeps small leaves on many cores
+    return rows, count, int(min(2 * total, TASKS))
 
-def _node_boxes(tree, position, lo, hi):
-    low, high = [None] * len(tree.dim), [None] * len(tree.dim)
-    for node in reversed(range(len(tree.dim))):
-        if tree.dim[node] < 0:
-            at = position.get(tree.leaf[node])
-            if at is not None:
-                low[node], high[node] = lo[at], hi[at]
-            continue
-        sides = [s for s in (tree.left[node], tree.right[node]) if low[s] is not None]
-        if sides:
-            low[node] = np.min([low[s] for s in sides], axis=0)
-            high[node] = np.max([high[s] for s in sides], axis=0)
-    return low, high
 
+def _visits(sent, placed, k):
+    """The k nearest hosts of each query within the leaf it is sent to.
 
-def _route(batches, tree, low, high):
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        x, own, reach = np.stack(pdf["v"].to_numpy()), pdf["leaf"].to_numpy(), pdf["reach"].to_numpy()
-        stack = [(0, np.arange(len(pdf)))]
-        while stack:
-            node, rows = stack.pop()
-            if low[node] is None or not len(rows):
-                continue
-            gap = np.maximum(0, np.maximum(low[node] - x[rows], x[rows] - high[node]))
-            rows = rows[(gap ** 2).sum(axis=1) <= reach[rows]]
-            if tree.dim[node] >= 0:
-                stack += [(tree.left[node], rows), (tree.right[node], rows)]
-                continue
-            rows = rows[own[rows] != tree.leaf[node]]
-            if len(rows):
-                yield pdf.iloc[rows][["id", "v", "reach"]].assign(leaf=np.int32(tree.leaf[node]))
+    A leaf with many visitors is split over several tasks; its own rows are few.
+    """
+    queries, parts, tasks = _chunked(sent, CHUNK_ROWS)
+    # columns of its own: both sides may come from one table, and a cogroup must not mix them up
+    hosts = placed.join(parts, "cell").select(
+        F.col("id").alias("host"), F.col("v").alias("host_v"), F.col("cell").alias("host_cell"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("host_part"))
+    queries = queries.select("id", "v", "reach", "cell", "part").repartition(tasks, "cell", "part")
+    hosts = hosts.repartition(tasks, "host_cell", "host_part")
+    return queries.groupBy("cell", "part").cogroup(hosts.groupBy("host_cell", "host_part")).applyInPandas(
+        lambda q, p: _visit(q, p, k), "id bigint, neighbour bigint, distance double, vector array<double>")
 
 
 def _visit(q, p, k):
     if not len(q) or not len(p):
-        return pd.DataFrame({"id": [], "neighbour": [], "distance": [], "vector": []})
+        return pd.DataFrame({"id": [], "neighbour": [], "distance": [], "vector": []}, dtype=object)
     x, ids = np.stack(q["v"].to_numpy()), q["id"].to_numpy()
     hosts, host_ids = np.stack(p["host_v"].to_numpy()), p["host"].to_numpy()
-    return _listing(x, ids, hosts, host_ids, k, q["reach"].to_numpy())[1]
+    return _listing(x, ids, hosts, host_ids, k, q["reach"].to_numpy())

@@ -28,7 +28,7 @@ def frame(spark, points):
     return spark.createDataFrame([(int(i), *map(float, x)) for i, x in points.items()], "id bigint, a double, b double, c double")
 
 
-@pytest.mark.parametrize("search", [dict(leaf_rows=25, whole_rows=0), dict(leaf_rows=1000, whole_rows=0), {}])
+@pytest.mark.parametrize("search", [dict(leaf_rows=25), dict(leaf_rows=8, fan=3), {}])
 def test_neighbours_equal_brute_force(spark, search):
     rng = np.random.default_rng(1)
     pts = {i: tuple(p) for i, p in enumerate(rng.integers(0, 12, size=(300, 3)))}
@@ -63,12 +63,38 @@ def test_neighbours_with_a_dominant_value_equal_brute_force(spark):
            for i in range(400)}
     want = brute_force(pts, 3)
     got = {}
-    for r in nearest_neighbours(frame(spark, pts), "id", ["a", "b", "c"], 3, leaf_rows=20, whole_rows=0) \
+    for r in nearest_neighbours(frame(spark, pts), "id", ["a", "b", "c"], 3, leaf_rows=10, fan=4) \
             .orderBy("id", "rank").collect():
         got.setdefault(r["id"], []).append((r["distance"], r["neighbour"]))
     assert got == {i: v for i, v in want.items() if i not in crowded(pts, 3)}
 
 
+@pytest.mark.parametrize("columns", [15, 37])
+def test_neighbours_in_many_standardised_columns(spark, columns, monkeypatch):
+    rng = np.random.default_rng(columns)
+    x = rng.normal(size=(8, columns))[rng.integers(0, 8, 1200)] * 4 + rng.normal(size=(1200, columns))
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    sent, visits = [], neighbours._visits
+    monkeypatch.setattr(neighbours, "_visits", lambda q, p, k: (sent.append(q.count()), visits(q, p, k))[1])
+    names = [f"c{i}" for i in range(columns)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=np.arange(1200)))
+    got = nearest_neighbours(df, "id", names, 3, leaf_rows=30, fan=4).toPandas().sort_values(["id", "rank"])
+    far = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    assert (got["neighbour"].to_numpy().reshape(-1, 3) == np.argsort(far, axis=1, kind="stable")[:, :3]).all()
+    # 40 leaves; a point visits those of its own cluster, at most a third
+    assert sum(sent) / 1200 < 40 / 3
+
+
+def test_cells_hold_at_most_two_leaves_rows_at_any_depth(spark):
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, [float(a), float(b)], 1) for i, (a, b) in enumerate(rng.normal(size=(2000, 2)))],
+                                   "id bigint, v array<double>, copy int")
+    placed, depth = neighbours.partition(points, 10, 3)
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert depth >= 4 and max(sizes) <= 20 and sum(sizes) == 2000
+
+
 def test_smote_reaches_parity_between_minority_points(leads):
     cols = ["age", "campaign", "duration"]
     out = smote(leads, cols, "y", "lead_id").cache()
@@ -82,7 +108,7 @@ def test_smote_reaches_parity_between_minority_points(leads):
 
 def test_smote_is_the_same_for_any_leaf_size(leads):
     cols = ["age", "campaign", "duration"]
-    one, many = smote(leads, cols, "y", "lead_id"), smote(leads, cols, "y", "lead_id", leaf_rows=30, whole_rows=0)
+    one, many = smote(leads, cols, "y", "lead_id"), smote(leads, cols, "y", "lead_id", leaf_rows=30)
     assert one.exceptAll(many).isEmpty()
 
 

@@ -1,29 +1,33 @@
 """Substring dedup: repeated units of text go, all but their earliest occurrence.
 
-A unit is a line, cut after every sentence of ``MIN_WORDS`` words or more;
-shorter sentences join the next one of their line. Units of more than
-``LONG_UNIT`` words are units as a whole, so that exact copies go whole, and are
-cut at words that their own hash picks. Every window of ``WINDOW`` words inside
-them is a unit too, unless it is one word repeated: a passage of that length or
-more goes to its last word. All borders depend on nearby text only, so a passage
-has the same inner units wherever in a line it stands. Units are compared as
-lower-case words without punctuation.
-
-A line or rest of a line under ``MIN_WORDS`` words is no unit by itself. It is
-one together with the whole lines or sentences after it that it needs to reach
-``MIN_WORDS``, and another with those before it. So a repeated passage set in
-short lines goes whole, wherever it begins; a short line between others that do
-not repeat stays. Such units overlap; each removed word has an earlier copy
-that stays.
-
-Digests of units with ``MIN_WORDS`` words or more are counted over the whole
-table with partial aggregates; only rows of 20 to 40 bytes are shuffled. The
-occurrence that ranks first by document id, text (by its hash) and place stays. Others are removed
-from the text, and reported with their offsets in the original, in characters.
+Units are compared as lower-case words without punctuation. There are three kinds.
+
+* A line, cut after every sentence of ``min_words`` words or more; shorter
+  sentences join the next one of their line.
+* A line or rest of a line under ``min_words`` words is no unit by itself. It is
+  one together with the whole lines or sentences after it that it needs to reach
+  ``min_words``, and another with those before it. A short line between others
+  that do not repeat stays.
+* Every run of ``WINDOW`` words, wherever lines end, unless it is one word
+  repeated. So a passage of that length or more goes to its last word, also where
+  its copies are wrapped in other ways. Runs that follow one another, and whose
+  kept occurrences do too, are reported as one.
+
+Units may overlap; each removed word has an earlier copy that stays.
+
+Runs are many, so they are looked for in two steps. A run's smallest gram of
+``GRAM`` words is its anchor, about one in five words. Only runs whose anchor
+stands in two places of the table or more can repeat, and only those are listed.
+
+Digests are counted over the whole table with partial aggregates. The occurrence
+that ranks first by document id, text (by its hash) and place stays. Others are
+removed from the text, and reported with their offsets in the original, in characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,141 +38,210 @@ from dialwise.llm.common import free_name, id_and_text, map_batches, query, quot
 from dialwise.llm.words import ALNUM, Chunk, chunks, mix, odd_numbers, owners, span_hashes, spans
 
 MIN_WORDS = 8
-LONG_UNIT = 32
-CUT_ONE_IN = 12
-#: words of a window inside long units
+#: words of a run that is compared wherever it stands
 WINDOW = 16
+GRAM = 8
 #: texts that a worker holds as Python strings at a time
 ROWS = 1000
 _NEWLINE = np.array([b == 10 for b in range(256)])
 _STOP = np.array([chr(b) in ".!?" for b in range(256)])
 _POWER = odd_numbers(1, 21)[0]
 
+DOC = "doc_id long, text_key long"
+UNIT = f"{DOC}, digest long, at int, n_words int, start int, end int"
 
-def units(chunk: Chunk) -> dict:
-    """Units of the texts of a chunk: ``doc, digest, n_words, start, end``, offsets in characters of the text.
 
-    A unit reaches to the start of the next word after it, or to the end of the text. Units may overlap.
-    """
-    low = chunk.lower()
-    starts, ends, bounds = spans(low, ALNUM)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return {"doc": none, "digest": none.astype(np.uint64), "n_words": none, "start": none, "end": none}
-    words, doc = span_hashes(low.data, starts, ends), owners(bounds)
-    n = len(words)
+class Words:
+    """The words of a chunk's texts: hashes, owners, digests of any span of them, and their places in characters."""
+
+    def __init__(self, chunk: Chunk):
+        low = chunk.lower()
+        self.chunk = chunk
+        self.starts, self.ends, self.bounds = spans(low, ALNUM)
+        self.hashes, self.doc = span_hashes(low.data, self.starts, self.ends), owners(self.bounds)
+        n = len(self.hashes)
+        # order-dependent hash of a span's words, by running sums as for bytes
+        power, inverse = np.full(n + 1, _POWER), np.full(n + 1, np.uint64(pow(int(_POWER), -1, 1 << 64)))
+        power[0] = inverse[0] = 1
+        self.inverse = np.multiply.accumulate(inverse)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * np.multiply.accumulate(power)[:n])])
+
+    def __len__(self) -> int:
+        return len(self.hashes)
 
-    def gap(table: np.ndarray) -> np.ndarray:
+    def digests(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return mix((self.sums[to] - self.sums[at]) * self.inverse[at] + (to - at).astype(np.uint64))
+
+    def gap(self, table: np.ndarray) -> np.ndarray:
         """Whether the bytes between a word and the next hold one of the table."""
-        seen = np.concatenate([[0], np.cumsum(table[chunk.data])])
-        return seen[np.append(starts[1:], len(chunk.data))] > seen[ends]
+        seen = np.concatenate([[0], np.cumsum(table[self.chunk.data])])
+        return seen[np.append(self.starts[1:], len(self.chunk.data))] > seen[self.ends]
+
+    def units(self, at: np.ndarray, to: np.ndarray, digest: np.ndarray) -> dict:
+        """``doc, digest, at, n_words, start, end`` of spans of words.
+
+        A unit reaches to the start of the next word after it, or to the end of the text.
+        """
+        # characters before a byte: those that are no continuation bytes
+        chars = np.concatenate([[0], np.cumsum((self.chunk.data & 0xC0) != 0x80)])
+        owner, offsets = self.doc[at], self.chunk.offsets
+        after = np.where(to == self.bounds[owner + 1], offsets[owner + 1], np.append(self.starts, 0)[to])
+        base = chars[offsets[owner]]
+        return {"doc": owner, "digest": digest, "at": at - self.bounds[owner], "n_words": to - at,
+                "start": chars[self.starts[at]] - base, "end": chars[after] - base}
+
 
+def line_units(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last of every line or sentence of enough words, and of short ones with their neighbours."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = np.zeros(n, bool)
-    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-    line_end = gap(_NEWLINE) | last
-    stop = gap(_STOP) | line_end
+    last[words.bounds[1:][np.diff(words.bounds) > 0] - 1] = True
+    line_end = words.gap(_NEWLINE) | last
+    stop = words.gap(_STOP) | line_end
     sentence = np.concatenate([[0], np.cumsum(stop[:-1])])
     size = np.bincount(sentence)[sentence]
-    end = line_end | (stop & (size >= MIN_WORDS))
-    number = np.concatenate([[0], np.cumsum(end[:-1])])
-    long_unit = np.bincount(number)[number] > LONG_UNIT
-    part_to = np.flatnonzero(end) + 1
-    part_at = np.concatenate([[0], part_to[:-1]])
-    end |= long_unit & (mix(words) % np.uint64(CUT_ONE_IN) == 0)
-    to = np.flatnonzero(end) + 1
+    to = np.flatnonzero(line_end | (stop & (size >= min_words))) + 1
     at = np.concatenate([[0], to[:-1]])
-    # order-dependent hash of a unit's words, by running sums as for bytes
-    power = np.full(n + 1, _POWER)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    inverse = np.full(n + 1, np.uint64(pow(int(_POWER), -1, 1 << 64)))
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
-
-    def digests(at: np.ndarray, to: np.ndarray) -> np.ndarray:
-        return mix((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64))
-
-    whole = long_unit[part_at]
-    found = [(at, to), (part_at[whole], part_to[whole]), *with_neighbours(part_at, part_to, doc)]
-    if n >= WINDOW:
-        first = window_starts(digests(np.arange(n - WINDOW + 1), np.arange(WINDOW, n + 1)), long_unit, number)
-        found.append((first, first + WINDOW))
-    at, to = distinct_spans(found, n)
-    digest = digests(at, to)
-    # characters before a byte: those that are no continuation bytes
-    chars = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
-    owner = doc[at]
-    after = np.where(to == bounds[owner + 1], chunk.offsets[owner + 1], np.append(starts, 0)[to])
-    base = chars[chunk.offsets[owner]]
-    return {"doc": owner, "digest": digest, "n_words": to - at, "start": chars[starts[at]] - base, "end": chars[after] - base}
-
-
-def with_neighbours(at: np.ndarray, to: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spans of words that join every part under ``MIN_WORDS`` words to as many whole parts after it, and before it, as it needs."""
-    short = to - at < MIN_WORDS
+    return distinct_spans([(at[to - at >= min_words], to[to - at >= min_words]), *with_neighbours(at, to, words.doc, min_words)], n)
+
+
+def with_neighbours(at: np.ndarray, to: np.ndarray, doc: np.ndarray, min_words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spans of words that join every part under ``min_words`` words to as many whole parts after it, and before it, as it needs."""
+    short = to - at < min_words
     first, last = at[short], to[short]
-    j = np.searchsorted(to, first + MIN_WORDS)
+    j = np.searchsorted(to, first + min_words)
     inside = j < len(to)
     ahead = first[inside], to[j[inside]]
-    k = np.searchsorted(at, last - MIN_WORDS, "right") - 1
+    k = np.searchsorted(at, last - min_words, "right") - 1
     inside = k >= 0
     behind = at[k[inside]], last[inside]
     return [(a[same], b[same]) for a, b in (ahead, behind) for same in [doc[a] == doc[b - 1]]]
 
 
-def window_starts(grams: np.ndarray, long_unit: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Words at which a window of ``WINDOW`` words of one long unit begins that differs from the windows next to it."""
-    inside = long_unit[:len(grams)] & (number[:len(grams)] == number[WINDOW - 1:])
-    same = grams[1:] == grams[:-1]
-    return np.flatnonzero(inside & ~np.append(same, False) & ~np.append(False, same))
-
-
 def distinct_spans(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.unique(np.concatenate([a * (n + 1) + b for a, b in found]))
     return key // (n + 1), key % (n + 1)
 
 
-def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_key, digest, n_words, start, end`` of every unit that is long enough to be compared."""
-    slim = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of all runs of ``WINDOW`` words that are not one word repeated, where their anchors begin, and the anchors' digests."""
+    n = len(words)
+    if n < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams = words.digests(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1)
+    first = np.arange(n - WINDOW + 1)
+    changes = np.concatenate([[0, 0], np.cumsum(words.hashes[1:] != words.hashes[:-1])])
+    good = (words.doc[first] == words.doc[first + WINDOW - 1]) & (changes[first + WINDOW] > changes[first + 1])
+    first = first[good]
+    anchor = first + least[good]
+    return first, anchor, grams[anchor]
+
+
+def _rows(batch: pa.RecordBatch, chunk: Chunk, owner: np.ndarray) -> dict:
+    rows = pa.array(owner + chunk.rows.start)
+    return {"doc_id": batch.column(0).take(rows), "text_key": batch.column(2).take(rows)}
 
-    def run(batch: pa.RecordBatch):
+
+def _listed(batch: pa.RecordBatch, chunk: Chunk, u: dict) -> dict:
+    return _rows(batch, chunk, u["doc"]) | {"digest": u["digest"].astype(np.int64)} | {
+        c: u[c].astype(np.int32) for c in ("at", "n_words", "start", "end")}
+
+
+def anchors(slim: DataFrame) -> DataFrame:
+    """``doc_id, text_key, digest, n``: the anchors of every text and in how many places of it they stand."""
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for chunk in chunks(batch.column(1)):
+            words = Words(chunk)
+            _, anchor, digest = runs(words)
+            _, place = np.unique(anchor, return_index=True)
+            pairs = np.empty(len(place), [("doc", np.int64), ("digest", np.uint64)])
+            pairs["doc"], pairs["digest"] = words.doc[anchor[place]], digest[place]
+            pairs, n = np.unique(pairs, return_counts=True)
+            yield _rows(batch, chunk, pairs["doc"]) | {"digest": pairs["digest"].astype(np.int64), "n": n.astype(np.int32)}
+
+    return map_batches(slim, run, f"{DOC}, digest long, n int")
+
+
+def run_table(slim: DataFrame) -> DataFrame:
+    """Units of the runs whose anchor stands in two places or more."""
+    found = anchors(slim)
+    # stored, so that the join deals both sides anew and a hot digest can be split
+    repeated = store(found.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
+    lists = found.join(repeated, "digest").groupBy("doc_id", "text_key").agg(F.collect_set("digest").alias("anchors")) \
+        .withColumnsRenamed({"doc_id": "l_doc_id", "text_key": "l_text_key"})
+    texts = slim.join(lists, slim["doc_id"].eqNullSafe(lists["l_doc_id"]) & (slim["text_key"] == lists["l_text_key"])) \
+        .select("doc_id", "text", "text_key", "anchors")
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk in chunks(batch.column(1)):
-            u = units(chunk)
-            u = {k: v[u["n_words"] >= MIN_WORDS] for k, v in u.items()}
-            rows = pa.array(u["doc"] + chunk.rows.start)
-            yield {"doc_id": batch.column(0).take(rows), "text_key": batch.column(2).take(rows),
-                   "digest": u["digest"].astype(np.int64), "n_words": u["n_words"].astype(np.int32),
-                   "start": u["start"].astype(np.int32), "end": u["end"].astype(np.int32)}
+            words = Words(chunk)
+            first, _, digest = runs(words)
+            # a repeated anchor is listed with every text that holds it, so the texts of a chunk can share their lists
+            known = batch.column(3)[chunk.rows.start:chunk.rows.stop].flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            first = first[np.isin(digest, known)]
+            yield _listed(batch, chunk, words.units(first, first + WINDOW, words.digests(first, first + WINDOW)))
 
-    return map_batches(slim, run, "doc_id long, text_key long, digest long, n_words int, start int, end int")
+    return map_batches(texts, run, UNIT)
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_table(slim: DataFrame, min_words: int) -> DataFrame:
+    """Units of lines, sentences and short lines with their neighbours."""
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for chunk in chunks(batch.column(1)):
+            words = Words(chunk)
+            at, to = line_units(words, min_words)
+            yield _listed(batch, chunk, words.units(at, to, words.digests(at, to)))
+
+    return map_batches(slim, run, UNIT)
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removed unit: ``doc_id, text_key, start, end, n_words, kept_doc_id, kept_start``.
 
     Rows without an id rank before all others. Rows that repeat an id together
     with its text are one document and keep the same units. Null, empty and
-    wordless texts have no units.
+    wordless texts have no units; an empty table gives no rows.
     """
-    all_units = unit_table(docs, id_col, text_col)
-    # stored, so that the join deals both sides anew and a hot digest can be split
-    groups = store(all_units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "end")).alias("first")).where("n > 1")
-                   .select("digest", *[F.col(f"first.{c}").alias(f"kept_{c}") for c in ("doc_id", "text_key", "start", "end")]))
+    slim = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    lines, found = line_table(slim, min_words).withColumn("is_run", F.lit(False)), store(run_table(slim)).withColumn("is_run", F.lit(True))
+    units = lines.unionByName(found)
+    place = ("doc_id", "text_key", "start", "end", "at")
+    groups = store(units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct(*place)).alias("first")).where("n > 1")
+                   .select("digest", *[F.col(f"first.{c}").alias(f"kept_{c}") for c in place]))
     # a unit that overlaps its kept occurrence stays as well, or it would cut into that
-    return all_units.join(groups, "digest") \
-        .where("NOT (doc_id <=> kept_doc_id AND text_key <=> kept_text_key AND start >= kept_start AND start < kept_end)") \
-        .select("doc_id", "text_key", "start", "end", "n_words", "kept_doc_id", "kept_start")
+    gone = units.join(groups, "digest").where(
+        "NOT (doc_id <=> kept_doc_id AND text_key <=> kept_text_key AND start >= kept_start AND start < kept_end)")
+    shown = ("doc_id", "text_key", "start", "end", "n_words", "kept_doc_id", "kept_start")
+    return gone.where("NOT is_run").select(*shown).unionByName(merged(gone.where("is_run")).select(*shown))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def merged(gone: DataFrame) -> DataFrame:
+    """Removed runs, joined where they touch or overlap and their kept occurrences do so alike.
+
+    A group is no larger than a text: repeated rows meet in a set.
+    """
+    one = F.struct("at", "start", "end", "kept_start")
+    groups = gone.groupBy("doc_id", "text_key", "kept_doc_id", "kept_text_key", (F.col("kept_at") - F.col("at")).alias("shift")) \
+        .agg(F.array_sort(F.collect_set(one)).alias("runs"))
+    apart = lambda a, b: b["at"] - a["at"] > WINDOW
+    firsts = F.filter("runs", lambda r, i: (i == 0) | apart(F.get("runs", i - 1), r))
+    lasts = F.filter("runs", lambda r, i: (i == F.size("runs") - 1) | apart(r, F.get("runs", i + 1)))
+    pairs = F.explode(F.arrays_zip(firsts.alias("a"), lasts.alias("b"))).alias("p")
+    return groups.select("doc_id", "text_key", "kept_doc_id", pairs).select(
+        "doc_id", "text_key", "kept_doc_id", F.col("p")["a"]["start"].alias("start"), F.col("p")["b"]["end"].alias("end"),
+        (F.col("p")["b"]["at"] - F.col("p")["a"]["at"] + WINDOW).alias("n_words"), F.col("p")["a"]["kept_start"].alias("kept_start"))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated units cut out of the text; every row and every other column stays.
 
     A text that consists of repeats alone becomes empty; a null text stays null.
     """
     cuts, key = free_name(docs, "cuts"), free_name(docs, "text_key")
-    gone = store(repeats(docs, id_col=id_col, text_col=text_col).select("doc_id", "text_key", "start", "end").distinct())
+    gone = store(repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words).select("doc_id", "text_key", "start", "end").distinct())
     lists = gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts)) \
         .select(F.col("doc_id").alias(key + "_id"), F.col("text_key").alias(key), cuts)
     text = F.col(quoted(text_col)).cast("string")

@@ -3,9 +3,10 @@
 import collections
 import re
 
+import pytest
+
 from dialwise.llm import hostrules, licenses, substring
-from dialwise.llm.words import ALNUM, chunks, span_hashes, spans
-from tests.llm.helpers import SENTENCE, TEXTS, alnum_words, awkward, nothing
+from tests.llm.helpers import AZ, SENTENCE, TEXTS, alnum_words, awkward, nothing
 
 
 def counts(text):
@@ -101,34 +102,57 @@ def test_every_rule_text_passes_the_prefilter():
 
 
 def unit_list(text):
-    """``(normalised words, start, end)`` of the units of one text, character by character."""
+    """``(normalised words, start, end, at, is_run)`` of the units of one text, by plain Python and without any hash."""
     text = text or ""
-    found = [m for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))]
-    if not found:
-        return []
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(AZ)))
+    words = [m[0] for m in found]
+    n, least = len(words), substring.MIN_WORDS
     gaps = [text[a.end():b.start()] for a, b in zip(found, found[1:])] + ["\n"]
-    hashes = []
-    for m in found:
-        raw = next(chunks(__import__("pyarrow").array([m[0]])))
-        hashes.append(int(substring.mix(span_hashes(raw.data, *spans(raw, ALNUM)[:2]))[0]))
-    cuts, since = [], 0
-    for k, gap in enumerate(gaps):
-        if "\n" in gap or any(c in gap for c in ".!?"):
-            if "\n" in gap or k + 1 - since >= substring.MIN_WORDS:
-                cuts.append(k + 1)
+    parts, at, since = [], 0, 0
+    for k in range(n):
+        if "\n" in gaps[k] or any(c in gaps[k] for c in ".!?"):
+            if "\n" in gaps[k] or k + 1 - since >= least:
+                parts.append((at, k + 1))
+                at = k + 1
             since = k + 1
-    final, at = [], 0
-    for c in cuts:
-        if c - at > substring.LONG_UNIT:
-            final += [k + 1 for k in range(at, c) if hashes[k] % substring.CUT_ONE_IN == 0 and k + 1 < c]
-        final.append(c)
-        at = c
-    out, at = [], 0
-    for c in final:
-        out.append((tuple(m[0] for m in found[at:c]), found[at].start(), found[c].start() if c < len(found) else len(text)))
-        at = c
-    return [u for u in out if len(u[0]) >= substring.MIN_WORDS]
+    spans_ = {p for p in parts if p[1] - p[0] >= least}
+    for k, (a, b) in enumerate(parts):
+        if b - a < least:
+            ahead = [e for _, e in parts[k:] if e - a >= least][:1]
+            behind = [s for s, _ in reversed(parts[:k + 1]) if b - s >= least][:1]
+            spans_ |= {(a, e) for e in ahead} | {(s, b) for s in behind}
+    runs = [(i, i + substring.WINDOW) for i in range(n - substring.WINDOW + 1) if len(set(words[i:i + substring.WINDOW])) > 1]
+    border = lambda b: found[b].start() if b < n else len(text)
+    return [(tuple(words[a:b]), found[a].start(), border(b), a, is_run)
+            for group, is_run in ((sorted(spans_), False), (runs, True)) for a, b in group]
+
+
+def removed_units(rows):
+    """Rows of ``repeats`` by plain Python, of tables in which no id repeats with its text."""
+    rank = lambda i, t: (i is not None, i or 0, t)
+    units = [(rank(i, t), i, t, *u) for i, t in rows for u in unit_list(t)]
+    first = {}
+    for r, i, t, words, start, end, at, _ in units:
+        first[words] = min(first.get(words, (r, start, end, at)), (r, start, end, at))
+    out, islands = [], collections.defaultdict(list)
+    for r, i, t, words, start, end, at, is_run in units:
+        keeper, k_start, k_end, k_at = first[words]
+        if keeper == r and k_start <= start < k_end:
+            continue
+        kept_id = keeper[1] if keeper[0] else None
+        if is_run:
+            islands[(i, t, keeper, kept_id, k_at - at)].append((at, start, end, k_start))
+        else:
+            out.append((i, start, end, len(words), kept_id, k_start))
+    for (i, t, keeper, kept_id, _), found in islands.items():
+        found.sort()
+        begin = 0
+        for k in range(1, len(found) + 1):
+            if k == len(found) or found[k][0] - found[k - 1][0] > substring.WINDOW:
+                a, b = found[begin], found[k - 1]
+                out.append((i, a[1], b[2], b[0] - a[0] + substring.WINDOW, kept_id, a[3]))
+                begin = k
+    return out
 
 
 REPEATS = [(i, t) for i, t in TEXTS if t is None or len(t) < 10_000] + [
@@ -137,30 +161,55 @@ REPEATS = [(i, t) for i, t in TEXTS if t is None or len(t) < 10_000] + [
     (32, "word " * 100), (33, "other " + "word " * 100), (40, SENTENCE), (None, SENTENCE)]
 
 
+def passages():
+    """Passages in lines of any width, in texts of their own words; texts differ, so their hashes only break ties of ids."""
+    run = lambda name, n: [f"{name}{k}" for k in range(n)]
+    wrap = lambda words, width: "\n".join(" ".join(words[k:k + width]) for k in range(0, len(words), width))
+    out = []
+    for k, (length, widths) in enumerate([(60, (10, 12, 15)), (20, (36, 30, 30)), (20, (30, 30, 9)), (16, (5, 7, 100)), (300, (11, 13, 500))]):
+        for w, width in enumerate(widths):
+            own = f"o{k}x{w}y"
+            out.append((1000 + 10 * k + w, wrap(run(own + "a", 9 + w) + run(f"passage{k}q", length) + run(own + "b", 7 + 2 * w), width)))
+    return out
+
+
 def test_removed_units_equal_plain_python(spark):
-    docs = spark.createDataFrame(REPEATS, "doc_id long, text string")
-    first = {}
-    rank = lambda i: -1 if i is None else i
-    everything = [(rank(i), s, e, w, i) for i, t in REPEATS for w, s, e in unit_list(t)]
-    for r, s, e, w, i in everything:
-        first[w] = min(first.get(w, (1 << 60, 0)), (r, s))
-    want = sorted(repr((i, s, e, len(w), None if first[w][0] == -1 else first[w][0], first[w][1]))
-                  for r, s, e, w, i in everything if (r, s) != first[w])
+    rows = sorted({(repr(i), i, t) for i, t in [*REPEATS, *passages()]}, key=repr)
+    rows = [(i, t) for _, i, t in rows]
+    # texts under one id rank by their hash, which plain Python does not have
+    seen = collections.Counter(i for i, _ in rows)
+    rows = [(i, t) for i, t in rows if seen[i] == 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, removed_units(rows)))
     got = substring.repeats(docs).drop("text_key").collect()
-    assert sorted(repr(tuple(r)) for r in got) == want and want
-    cleaned = sorted(repr((r.doc_id, r.text)) for r in substring.remove_repeats(docs).collect())
-    gone = collections.defaultdict(set)
-    for r, s, e, w, i in everything:
-        if (r, s) != first[w]:
-            gone[(i, w, s)].add((s, e))
+    assert sorted(repr(tuple(r)) for r in got) == want and len(want) >= 15
+    gone = collections.defaultdict(list)
+    for i, start, end, *_ in removed_units(rows):
+        gone[i].append((start, end))
 
     def cut(i, t):
-        spans_ = sorted({(s, e) for w, s, e in unit_list(t) if (rank(i), s) != first[w]}, reverse=True)
-        for s, e in spans_:
-            t = t[:s] + t[e:]
-        return t
+        hit = {k for s, e in gone[i] for k in range(s, e)}
+        return t and "".join(c for k, c in enumerate(t) if k not in hit)
 
-    assert cleaned == sorted(repr((i, cut(i, t))) for i, t in REPEATS)
+    cleaned = sorted(repr((r.doc_id, r.text)) for r in substring.remove_repeats(docs).collect())
+    assert cleaned == sorted(repr((i, cut(i, t))) for i, t in rows)
+
+
+def test_a_passage_goes_however_its_copies_are_wrapped(spark):
+    rows = passages()
+    got = {r.doc_id: r.text for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        left = [w for w in got[i].split() if w.startswith("passage")]
+        assert len(left) == (sum(w.startswith("passage") for w in text.split()) if i % 10 == 0 else 0)
+        assert [w for w in got[i].split() if w.startswith("o")] == [w for w in text.split() if w.startswith("o")]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
+def test_removed_units_of_a_whole_table_equal_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = substring.repeats(docs).drop("text_key").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, removed_units(rows)))
 
 
 def test_substring_on_awkward_and_empty_tables(spark):
@@ -186,7 +235,8 @@ def test_passage_in_short_lines_goes_from_all_but_one(spark):
     got = {r.doc_id: r.text for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == rows[0][1]
     for i in range(1, 4):
-        assert got[i] == f"Top {i}\nown{i} words\nbetween{i}\nlast{i} line{i}"
+        # "words" stands before the verse in every text, so it is the first word of the passage
+        assert got[i] == f"Top {i}\nown{i} between{i}\nlast{i} line{i}"
 
 
 def test_long_lines_and_passages_inside_them_go_whole(spark):

@@ -34,15 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write once in the folder that ``spark.checkpoint.dir`` names and read back.
+def store(df: DataFrame, **options: str) -> DataFrame:
+    """Write once in the folder that ``spark.checkpoint.dir`` names and read back; ``options`` go to the writer.
 
     The copy cuts lineage, outlives executors and is removed when the
     application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

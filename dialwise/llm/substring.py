@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,8 @@ _POWER = odd_numbers(1, 21)[0]
 
 DOC = "doc_id long, text_key long"
 UNIT = f"{DOC}, digest long, at int, n_words int, start int, end int"
+#: rows in the order of texts: differences of places take a byte each
+DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
 
 
 class Words:
@@ -140,6 +142,17 @@ def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, anchor, grams[anchor]
 
 
+def with_text_key(df: DataFrame, id: Column, text: Column, name: str) -> DataFrame:
+    """``df`` and ``name``: a hash of the text for rows that share their id with another text or have none, else 0.
+
+    Nearly all ids name one text, and a constant costs next to nothing in a shuffle.
+    """
+    several = store(df.select(id.alias("k_id"), F.xxhash64(text).alias("k")).where("k_id IS NOT NULL").groupBy("k_id")
+                    .agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a != b").select(F.col("k_id").alias(name)))
+    key = F.when(id.isNull() | several[name].isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    return df.join(several, id == several[name], "left").select(*[df[quoted(c)] for c in df.columns], key.alias(name))
+
+
 def _rows(batch: pa.RecordBatch, chunk: Chunk, owner: np.ndarray) -> dict:
     rows = pa.array(owner + chunk.rows.start)
     return {"doc_id": batch.column(0).take(rows), "text_key": batch.column(2).take(rows)}
@@ -201,13 +214,13 @@ def line_table(slim: DataFrame, min_words: int) -> DataFrame:
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removed unit: ``doc_id, text_key, start, end, n_words, kept_doc_id, kept_start``.
 
-    Rows without an id rank before all others. Rows that repeat an id together
+    ``text_key`` is 0 where an id has one text only. Rows without an id rank before all others. Rows that repeat an id together
     with its text are one document and keep the same units. Null, empty and
     wordless texts have no units; an empty table gives no rows.
     """
-    slim = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    lines, found = line_table(slim, min_words).withColumn("is_run", F.lit(False)), store(run_table(slim)).withColumn("is_run", F.lit(True))
-    units = lines.unionByName(found)
+    slim = with_text_key(id_and_text(docs, id_col, text_col), F.col("doc_id"), F.col("text"), "text_key")
+    found = store(run_table(slim), **DELTAS)
+    units = line_table(slim, min_words).withColumn("is_run", F.lit(False)).unionByName(found.withColumn("is_run", F.lit(True)))
     place = ("doc_id", "text_key", "start", "end", "at")
     groups = store(units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct(*place)).alias("first")).where("n > 1")
                    .select("digest", *[F.col(f"first.{c}").alias(f"kept_{c}") for c in place]))
@@ -244,9 +257,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gone = store(repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words).select("doc_id", "text_key", "start", "end").distinct())
     lists = gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts)) \
         .select(F.col("doc_id").alias(key + "_id"), F.col("text_key").alias(key), cuts)
-    text = F.col(quoted(text_col)).cast("string")
-    wide = docs.join(lists, F.col(quoted(id_col)).cast("long").eqNullSafe(lists[key + "_id"])
-                     & (F.xxhash64(text) == lists[key]), "left").select(*[docs[quoted(c)] for c in docs.columns], cuts)
+    id, own = F.col(quoted(id_col)).cast("long"), free_name(docs, "own_key")
+    keyed = with_text_key(docs, id, F.col(quoted(text_col)).cast("string"), own)
+    wide = keyed.join(lists, id.eqNullSafe(lists[key + "_id"]) & (keyed[own] == lists[key]), "left") \
+        .select(*[keyed[quoted(c)] for c in docs.columns], cuts)
     place, n = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):

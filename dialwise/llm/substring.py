@@ -18,6 +18,9 @@ Units may overlap; each removed word has an earlier copy that stays.
 Runs are many, so they are looked for in two steps. A run's smallest gram of
 ``GRAM`` words is its anchor, about one in five words. Only runs whose anchor
 stands in two places of the table or more can repeat, and only those are listed.
+Runs with the same anchor follow one another and make a stretch. Where an anchor
+stands in the same stretch everywhere, all its runs have the same occurrences, and
+the stretch is listed in their place. Only the others are listed one by one.
 
 Digests are counted over the whole table with partial aggregates. The occurrence
 that ranks first by document id, text (by its hash) and place stays. Others are
@@ -34,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialwise.llm.common import free_name, id_and_text, map_batches, query, quoted, store, table
+from dialwise.llm.common import batches_of, free_name, id_and_text, map_batches, query, quoted, shuffles_removed, store, table
 from dialwise.llm.words import ALNUM, Chunk, chunks, mix, odd_numbers, owners, span_hashes, spans
 
 MIN_WORDS = 8
 #: words of a run that is compared wherever it stands
 WINDOW = 16
 GRAM = 8
-#: texts that a worker holds as Python strings at a time
+#: texts that a worker gets, or holds as Python strings, at a time
 ROWS = 1000
 _NEWLINE = np.array([b == 10 for b in range(256)])
 _STOP = np.array([chr(b) in ".!?" for b in range(256)])
@@ -142,6 +145,15 @@ def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, anchor, grams[anchor]
 
 
+def stretches(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and word after the last of the runs that share an anchor's place, and the anchors' digests."""
+    first, anchor, digest = runs(words)
+    if not len(first):
+        return first, first, digest
+    new = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(first) != 1)])
+    return first[new], first[np.append(new[1:], True)] + WINDOW, digest[new]
+
+
 def with_text_key(df: DataFrame, id: Column, text: Column, name: str) -> DataFrame:
     """``df`` and ``name``: a hash of the text for rows that share their id with another text or have none, else 0.
 
@@ -163,27 +175,51 @@ def _listed(batch: pa.RecordBatch, chunk: Chunk, u: dict) -> dict:
         c: u[c].astype(np.int32) for c in ("at", "n_words", "start", "end")}
 
 
+def as_lines(words: Words, at: np.ndarray, to: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether a run of each stretch is a line's unit too."""
+    first, after = line_units(words, min_words)
+    lines = np.sort(first[after - first == WINDOW])
+    return np.searchsorted(lines, to - WINDOW, "right") > np.searchsorted(lines, at)
+
+
 def anchors(slim: DataFrame) -> DataFrame:
-    """``doc_id, text_key, digest, n``: the anchors of every text and in how many places of it they stand."""
+    """``doc_id, text_key, digest``: the anchors of every text."""
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for chunk in chunks(batch.column(1)):
+            words = Words(chunk)
+            at, _, digest = stretches(words)
+            doc = words.doc[at]
+            # in the order of texts, which a shuffle packs better
+            place = np.sort(np.unique(doc.astype(np.uint64) + digest, return_index=True)[1])
+            yield _rows(batch, chunk, doc[place]) | {"digest": digest[place].astype(np.int64)}
+
+    return map_batches(slim, run, f"{DOC}, digest long")
+
+
+def anchor_stretches(slim: DataFrame, min_words: int) -> DataFrame:
+    """``digest, whole, as_line``: the anchor of every stretch, the digest of all its words, and whether a run of it is a line's unit too."""
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk in chunks(batch.column(1)):
             words = Words(chunk)
-            _, anchor, digest = runs(words)
-            _, place = np.unique(anchor, return_index=True)
-            pairs = np.empty(len(place), [("doc", np.int64), ("digest", np.uint64)])
-            pairs["doc"], pairs["digest"] = words.doc[anchor[place]], digest[place]
-            pairs, n = np.unique(pairs, return_counts=True)
-            yield _rows(batch, chunk, pairs["doc"]) | {"digest": pairs["digest"].astype(np.int64), "n": n.astype(np.int32)}
+            at, to, digest = stretches(words)
+            yield {"digest": digest.astype(np.int64), "whole": words.digests(at, to).astype(np.int64), "as_line": as_lines(words, at, to, min_words)}
+
+    return map_batches(slim.select("doc_id", "text"), run, "digest long, whole long, as_line boolean")
 
-    return map_batches(slim, run, f"{DOC}, digest long, n int")
 
+def run_table(slim: DataFrame, min_words: int) -> DataFrame:
+    """Units of the runs whose anchor stands in two places or more, stretches in the place of runs where no place differs.
 
-def run_table(slim: DataFrame) -> DataFrame:
-    """Units of the runs whose anchor stands in two places or more."""
-    found = anchors(slim)
+    A run that a line's unit can equal is listed by itself in every text.
+    """
     # stored, so that the join deals both sides anew and a hot digest can be split
-    repeated = store(found.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
-    lists = found.join(repeated, "digest").groupBy("doc_id", "text_key").agg(F.collect_set("digest").alias("anchors")) \
+    repeated = store(anchor_stretches(slim, min_words).groupBy("digest").agg(
+        F.count("whole").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.bool_or("as_line").alias("as_line"))
+        .where("n > 1").select("digest", F.expr("a != b OR as_line").alias("apart")))
+    # the last bit of a listed anchor tells whether its runs are listed one by one
+    listed = F.col("digest").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("apart").cast("long"))
+    lists = anchors(slim).join(repeated, "digest").select("doc_id", "text_key", listed.alias("anchor")).repartition("doc_id", "text_key") \
+        .groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors")) \
         .withColumnsRenamed({"doc_id": "l_doc_id", "text_key": "l_text_key"})
     texts = slim.join(lists, slim["doc_id"].eqNullSafe(lists["l_doc_id"]) & (slim["text_key"] == lists["l_text_key"])) \
         .select("doc_id", "text", "text_key", "anchors")
@@ -191,11 +227,19 @@ def run_table(slim: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk in chunks(batch.column(1)):
             words = Words(chunk)
-            first, _, digest = runs(words)
+            at, to, digest = stretches(words)
             # a repeated anchor is listed with every text that holds it, so the texts of a chunk can share their lists
-            known = batch.column(3)[chunk.rows.start:chunk.rows.stop].flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-            first = first[np.isin(digest, known)]
-            yield _listed(batch, chunk, words.units(first, first + WINDOW, words.digests(first, first + WINDOW)))
+            known = np.unique(batch.column(3)[chunk.rows.start:chunk.rows.stop].flatten().to_numpy(zero_copy_only=False).astype(np.uint64))
+            one, apart = (np.isin(digest & ~np.uint64(1) | np.uint64(bit), known) for bit in (0, 1))
+            n = (to - at - WINDOW + 1)[apart]
+            # every first word from a stretch's first to its last run's
+            each = np.repeat(at[apart] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at, to = np.concatenate([at[one], each]), np.concatenate([to[one], each + WINDOW])
+            order = np.argsort(at)
+            at, to = at[order], to[order]
+            digest = words.digests(at, to)
+            # a longer stretch is never compared with lines
+            yield _listed(batch, chunk, words.units(at, to, np.where(to - at > WINDOW, ~digest, digest)))
 
     return map_batches(texts, run, UNIT)
 
@@ -218,34 +262,36 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     with its text are one document and keep the same units. Null, empty and
     wordless texts have no units; an empty table gives no rows.
     """
-    slim = with_text_key(id_and_text(docs, id_col, text_col), F.col("doc_id"), F.col("text"), "text_key")
-    found = store(run_table(slim), **DELTAS)
-    units = line_table(slim, min_words).withColumn("is_run", F.lit(False)).unionByName(found.withColumn("is_run", F.lit(True)))
-    place = ("doc_id", "text_key", "start", "end", "at")
-    groups = store(units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct(*place)).alias("first")).where("n > 1")
-                   .select("digest", *[F.col(f"first.{c}").alias(f"kept_{c}") for c in place]))
-    # a unit that overlaps its kept occurrence stays as well, or it would cut into that
+    with shuffles_removed(docs.sparkSession), batches_of(docs.sparkSession, ROWS):
+        slim = with_text_key(id_and_text(docs, id_col, text_col), F.col("doc_id"), F.col("text"), "text_key")
+        found = store(run_table(slim, min_words), **DELTAS)
+        lines = store(line_table(slim, min_words), **DELTAS)
+        units = lines.withColumn("is_run", F.lit(False)).unionByName(found.withColumn("is_run", F.lit(True)))
+        place = ("doc_id", "text_key", "start", "at")
+        groups = store(units.groupBy("digest").agg(F.count("start").alias("n"), F.min(F.struct(*place)).alias("first")).where("n > 1")
+                       .select("digest", *[F.col(f"first.{c}").alias(f"kept_{c}") for c in place]))
+    # a line or run that overlaps its kept occurrence stays as well, or it would cut into that
     gone = units.join(groups, "digest").where(
-        "NOT (doc_id <=> kept_doc_id AND text_key <=> kept_text_key AND start >= kept_start AND start < kept_end)")
+        f"NOT (doc_id <=> kept_doc_id AND text_key <=> kept_text_key AND at >= kept_at AND at < kept_at + IF(is_run, {WINDOW}, n_words))")
     shown = ("doc_id", "text_key", "start", "end", "n_words", "kept_doc_id", "kept_start")
     return gone.where("NOT is_run").select(*shown).unionByName(merged(gone.where("is_run")).select(*shown))
 
 
 def merged(gone: DataFrame) -> DataFrame:
-    """Removed runs, joined where they touch or overlap and their kept occurrences do so alike.
+    """Removed runs and stretches of them, joined where they touch or overlap and their kept occurrences do so alike.
 
     A group is no larger than a text: repeated rows meet in a set.
     """
-    one = F.struct("at", "start", "end", "kept_start")
+    one = F.struct("at", "n_words", "start", "end", "kept_start")
     groups = gone.groupBy("doc_id", "text_key", "kept_doc_id", "kept_text_key", (F.col("kept_at") - F.col("at")).alias("shift")) \
         .agg(F.array_sort(F.collect_set(one)).alias("runs"))
-    apart = lambda a, b: b["at"] - a["at"] > WINDOW
+    apart = lambda a, b: b["at"] - a["at"] > a["n_words"]
     firsts = F.filter("runs", lambda r, i: (i == 0) | apart(F.get("runs", i - 1), r))
     lasts = F.filter("runs", lambda r, i: (i == F.size("runs") - 1) | apart(r, F.get("runs", i + 1)))
     pairs = F.explode(F.arrays_zip(firsts.alias("a"), lasts.alias("b"))).alias("p")
     return groups.select("doc_id", "text_key", "kept_doc_id", pairs).select(
         "doc_id", "text_key", "kept_doc_id", F.col("p")["a"]["start"].alias("start"), F.col("p")["b"]["end"].alias("end"),
-        (F.col("p")["b"]["at"] - F.col("p")["a"]["at"] + WINDOW).alias("n_words"), F.col("p")["a"]["kept_start"].alias("kept_start"))
+        (F.col("p")["b"]["at"] - F.col("p")["a"]["at"] + F.col("p")["b"]["n_words"]).alias("n_words"), F.col("p")["a"]["kept_start"].alias("kept_start"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -254,7 +300,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A text that consists of repeats alone becomes empty; a null text stays null.
     """
     cuts, key = free_name(docs, "cuts"), free_name(docs, "text_key")
-    gone = store(repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words).select("doc_id", "text_key", "start", "end").distinct())
+    found = repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words).select("doc_id", "text_key", "start", "end")
+    with shuffles_removed(docs.sparkSession):
+        gone = store(found.distinct())
     lists = gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts)) \
         .select(F.col("doc_id").alias(key + "_id"), F.col("text_key").alias(key), cuts)
     id, own = F.col(quoted(id_col)).cast("long"), free_name(docs, "own_key")

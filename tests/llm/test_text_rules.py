@@ -212,6 +212,39 @@ def test_removed_units_of_a_whole_table_equal_plain_python(spark, sf):
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, removed_units(rows)))
 
 
+def copies():
+    """A passage in texts of their own words, in lines of other widths and of as many words as a run has; two near copies; repeated words."""
+    run = lambda name, n: [f"{name}{k}" for k in range(n)]
+    lines = lambda words, first, width: "\n".join(" ".join(x) for x in [words[:first], *[words[k:k + width] for k in range(first, len(words), width)]])
+    passage, other, size = run("passage", 200), run("other", 1500), substring.WINDOW
+    out = [(k, " ".join(run(f"a{k}x", 12)) + "\n" + lines(passage, first, width) + "\n" + " ".join(run(f"b{k}x", 9)))
+           for k, (first, width) in enumerate([(200, 1), (size, size), (7, size), (30, 25), (64, 20)])]
+    changed = [w + "new" * (k in (90, 91, 170)) for k, w in enumerate(other)]
+    return [*out, (10, lines(other, 40, 60)), (11, lines(changed, 30, 24)), (12, "left right " * 60 + " ".join(passage[50:90])), (13, "right left " * 60)]
+
+
+def test_stretches_of_repeated_runs_are_listed_once(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows, listed, before, store = copies(), {}, spark.conf.get(name), substring.store
+
+    def counted(df, **options):
+        assert spark.conf.get(name) == "true"  # or the shuffle files of every step stay until the last
+        out = store(df, **options)
+        if "at" in out.columns:
+            listed[len(listed)] = out.count()
+        return out
+
+    monkeypatch.setattr(substring, "store", counted)
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_key").collect()
+    want = removed_units(rows)
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want)) and spark.conf.get(name) == before
+    # lines of 16 words that only runs of an earlier text equal
+    assert sum(i == 1 and kept == 0 and n == substring.WINDOW for i, _, _, n, kept, _ in want) >= 10
+    units = collections.Counter(words for _, t in rows for words, *_, is_run in unit_list(t) if is_run)
+    repeated = sum(n for n in units.values() if n > 1)
+    assert repeated > 1000 and listed[0] < repeated / 2
+
+
 def test_substring_on_awkward_and_empty_tables(spark):
     docs = awkward(spark)
     out = substring.remove_repeats(docs)

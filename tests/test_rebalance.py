@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialwise.operators import neighbours
+from dialwise.operators import smote as smotes
 from dialwise.operators.neighbours import nearest_neighbours
 from dialwise.operators.smote import smote
+from tests.conftest import same
 
 
 def brute_force(points, k):
@@ -122,3 +124,35 @@ def test_smote_of_copies_adds_copies(spark):
 def test_smote_without_enough_minority_rows(spark, positives):
     df = spark.createDataFrame([(i, int(i < positives), float(i)) for i in range(10)], "id bigint, y int, a double")
     assert smote(df, ["a"], "y", "id").count() == 10
+
+
+@pytest.mark.parametrize("search", [dict(leaf_rows=20, fan=3), {}])
+def test_smote_by_fold_is_smote_of_the_rows_outside_it(spark, search, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 4 == 0), int(rng.integers(0, 3)), *map(float, rng.integers(0, 9, 2)), float(rng.normal())) for i in range(1200)]
+    rows += [(1200 + i, 1, i % 3, 5.0, 5.0, 0.5) for i in range(40)]  # a group of copies in every fold
+    rows += [(1240 + i, 1, 0, 50.0 + i / 100, 5.0, 0.5) for i in range(12)]  # near one another, in one fold
+    rows += [(1252 + i, 1, 1, 5.0, 70.0, 0.5) for i in range(5)] + [(1257, 1, 2, 5.0, 70.0, 0.5)]
+    df = spark.createDataFrame(rows, "id bigint, y int, fold int, a double, b double, c double").cache()
+    names = ["a", "b", "c"]
+    want = {f: smote(df.where(F.col("fold") != f), names, "y", "id") for f in range(3)}
+    searches, search_of = [], smotes.neighbours_by_fold
+    monkeypatch.setattr(smotes, "neighbours_by_fold", lambda *a, **b: (searches.append(1), search_of(*a, **b))[1])
+    got = smotes.smote_by_fold(df, names, "y", "id", **search)
+    assert sorted(got) == [0, 1, 2] and len(searches) == 1
+    for f in got:
+        assert same(want[f], got[f]) and got[f].columns == want[f].columns
+
+
+def test_smote_by_fold_where_a_fold_has_another_minority(spark):
+    rows = [(i, int(i % 3 == 0), 0, float(i)) for i in range(30)] + [(30 + i, int(i > 1), 1, float(i % 7)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, y int, fold int, a double")
+    got = smotes.smote_by_fold(df, ["a"], "y", "id")
+    for f in (0, 1):
+        assert same(smote(df.where(F.col("fold") != f), ["a"], "y", "id"), got[f])
+
+
+def test_few_tasks_for_many_small_groups(spark):
+    rows = spark.range(3000).withColumns({"cell": F.col("id"), "v": F.array(F.lit(1.0))})
+    _, _, tasks = neighbours._chunked(rows, 10)
+    assert tasks <= 3000 / 4

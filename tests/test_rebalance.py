@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from dialwise.operators import neighbours
 from dialwise.operators import smote as smotes
+from dialwise.operators.joins import by_row
 from dialwise.operators.neighbours import nearest_neighbours
 from dialwise.operators.smote import smote
+from dialwise.scale import materialise
 from tests.conftest import same
 
 
@@ -156,3 +158,17 @@ def test_few_tasks_for_many_small_groups(spark):
     rows = spark.range(3000).withColumns({"cell": F.col("id"), "v": F.array(F.lit(1.0))})
     _, _, tasks = neighbours._chunked(rows, 10)
     assert tasks <= 3000 / 4
+
+
+def test_vectors_are_not_broadcast_by_their_estimated_size(spark):
+    rows = spark.range(2000)
+    wide = materialise(rows.select("id", *[(F.col("id") % (i + 2)).cast("double").alias(f"c{i}") for i in range(40)]))
+    vectors = wide.select("id", F.array(*[f"c{i}" for i in range(40)]).alias("v"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(rows.join(vectors, "id"))  # by its estimate
+    assert "BroadcastHashJoin" not in plan(by_row(rows, vectors, "id"))
+    df = rows.select("id", (F.col("id") % 5 == 0).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("fold"),
+                     *[(F.col("id") * 7 % (i + 90)).cast("double").alias(f"c{i}") for i in range(20)])
+    names = [f"c{i}" for i in range(20)]
+    grown = smote(df, names, "y", "id")
+    assert "BroadcastHashJoin" not in plan(grown)
